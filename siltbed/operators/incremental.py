@@ -25,8 +25,8 @@ from siltbed.sources import storage
 
 
 def fingerprint(content: Column) -> Column:
-    """Checksum of a payload: SHA-256 in hex, NULL for NULL."""
-    return F.sha2(content, 256)
+    """Checksum of a payload: the first 128 bits of its SHA-256, NULL for NULL."""
+    return F.unhex(F.left(F.sha2(content, 256), F.lit(32)))
 
 
 def pending(listing: DataFrame, manifest: DataFrame, by: list[str]) -> DataFrame:
@@ -62,7 +62,7 @@ def record_contents(deliveries: DataFrame, identity: list[str], content: str, re
 
 def present_contents(contents: DataFrame, identity: list[str]) -> DataFrame:
     """Of each record the content that came last; equal times: the larger checksum."""
-    newest = F.max_by(F.struct("size", "checksum"), F.struct("last_at", "checksum")).alias("__newest")
+    newest = F.max_by(F.struct("size", "checksum"), F.struct("last_at", "checksum", "first_at")).alias("__newest")
     return contents.groupBy(*identity).agg(newest).select(*identity, F.col("__newest.size").alias("size"), F.col("__newest.checksum").alias("checksum"))
 
 
@@ -194,7 +194,9 @@ def unhandled_records(wal: DataFrame, checkpoints: DataFrame) -> DataFrame:
     contents = record_contents(complete, ["db_name", "lsn"], "log_data", "received_at")
     listing = present_contents(contents, ["db_name", "lsn"])
     runs = last_success(checkpoints)
-    seen = join_small(contents, runs, ["db_name"], "inner").where((F.col("lsn") <= F.col("checkpoint_")) & (F.col("first_at") <= F.col("read_at")))
+    # Both sides ask for the same columns of `contents` and infer no filter on them, so that it is shuffled once for both.
+    handled = F.coalesce((F.col("lsn") <= F.col("checkpoint_")) & (F.col("first_at") <= F.col("read_at")) & F.col("last_at").isNotNull(), F.lit(False))
+    seen = join_small(contents, runs, ["db_name"], "inner").where(handled)
     return pending(listing, seen, ["db_name", "lsn", "size", "checksum"])
 
 
