@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltbed.llm import queries_records
+from siltbed.llm import queries_records, queries_texts
 
-QUERIES = {**queries_records.QUERIES}
-SQL = {**queries_records.SQL}
+QUERIES = {**queries_records.QUERIES, **queries_texts.QUERIES}
+SQL = {**queries_records.SQL, **queries_texts.SQL}
