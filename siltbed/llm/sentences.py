@@ -116,16 +116,17 @@ def _abbreviations() -> str:
         _last_letters(SPACED_LEADING),
         _any(_words(BEFORE_NUMBER)) + r"(?=\." + _GAP + r"*[\p{N}" + DOT + r"])",
         # A time of day that opens a sentence goes on with its subject.
-        r"(?:[ap]" + stop + r"\s?m)(?<=[Aa]t" + _GAP + r"\d{1,2}[:.]\d{2}" + _GAP + r"[ap]" + stop + r"\s{0,1}m)(?<=A.{1,20})(?=\.\s)",
+        r"(?:[ap]" + DOT + r")?m(?<=(?<!" + _L + r")At" + _GAP + r"\d{1,2}[:.]\d{2}" + _GAP + r"[ap]" + stop + r"\s{0,1}m)(?=\.\s)",
         "(?:" + _any(_words(TRAILING, CLOSED_TRAILING)) + "|" + _last_letters(SPACED_TRAILING) + ")" + goes_on,
         _any(_words(DAYS_AND_MONTHS)) + r"(?=\.(?:[,;:)]|" + follows + r"(?!" + _SMALL_START + r")[(]?[\p{Ll}\p{N}]))",
         # A one-letter title in a script without case; a year with its letter.
         r"[\p{IsArabic}](?=\." + follows + r")",
         r"г(?<=\d" + _GAP + r"?г)(?=\." + follows + r")",
-        r"(?:" + "|".join(BEFORE_ORDINAL.split()) + r")" + follows + r"\d{1,2}(?=\." + follows + r"\p{L})",
+        r"\d{1,2}(?<=(?<!" + _L + r")(?:" + "|".join(BEFORE_ORDINAL.split()) + r")" + _GAP + r"{1,2}\d{1,2})(?=\." + follows + r"\p{L})",
         r"\d{1,2}(?=\." + follows + r"(?:" + "|".join(MONTHS.split()) + r")(?!" + _L + r"))",
     ]
-    return start + "(" + "|".join(branches) + r")\."
+    # A word is only looked at if a stop is right behind it.
+    return start + r"(?=[^\s.,;:!?()\[\]]{1,12}+\.)(" + "|".join(branches) + r")\."
 
 
 # The parts of a mail
@@ -186,15 +187,18 @@ def paragraphs_marked(prose: Column) -> Column:
 def sentences_marked(paragraph: Column) -> Column:
     """The paragraph with a SEP behind each of its sentences, and masks and tags still in it."""
     shut = rf"[”»」』{SHUT}{LOW_SHUT}{BACK_SHUT}]"
+    opening = rf"“„«「『{OPEN}{BACK_OPEN}"
     marks = rf"“”„«»「」『』{OPEN}{SHUT}{LOW_SHUT}{BACK_OPEN}{BACK_SHUT}"
+    ending = f"{_LATIN_END}{_WIDE_END}…"
     steps = [
         (_INNER_STOP, DOT),
         (_INNER_ASK, ASK),
         (_abbreviations(), f"$1{DOT}"),
         (rf'"([^"]{{1,2000}}+)"', f"{OPEN}$1{SHUT}"),
         (rf"(„[^„“”]{{1,2000}}+)“", f"$1{LOW_SHUT}"),
-        (rf"(?<=\A|[\s(])»(?=\S)([^»«]{{1,500}}+)(?<=\S)«", f"{BACK_OPEN}$1{BACK_SHUT}"),
-        (rf"[{_LATIN_END}{_WIDE_END}…](?=[^{marks}]{{0,2000}}+{shut})", f"$0{TAG}"),
+        (rf"»(?<=(?:\A|[\s(])»)(?=\S)([^»«]{{1,500}}+)(?<=\S)«", f"{BACK_OPEN}$1{BACK_SHUT}"),
+        # From an opening mark on, each ending that has a closing mark ahead.
+        (rf"(?:[{opening}]|\G(?!\A))[^{marks}{ending}]*+[{ending}](?=[^{marks}]{{0,2000}}+{shut})", f"$0{TAG}"),
     ]
     text = paragraph
     for pattern, by in steps:
@@ -206,7 +210,8 @@ def sentences_marked(paragraph: Column) -> Column:
         rf"[{_LATIN_END}…]{TAG}{_GAP}?[”»{SHUT}{LOW_SHUT}{BACK_SHUT}][)\]]*+(?={_GAP}++{_AFTER_QUOTE}|\p{{Lu}})",
         rf"(?:{'|'.join(THAI_PARTICLES.split())})(?={_GAP})",
     ]
-    return _replace(text, "|".join(ends), f"$0{SEP}")
+    begins = f"{ending}{''.join(sorted({w[0] for w in THAI_PARTICLES.split()}))}"
+    return _replace(text, rf"(?=[{begins}])(?:{'|'.join(ends)})", f"$0{SEP}")
 
 
 def unmask(piece: Column) -> Column:
