@@ -61,7 +61,7 @@ class FirstFit:
 
     def place(self, size: int) -> int:
         if size > self.capacity:
-            return self._open(0)
+            return self._open(-1)  # nothing may join it, not even an empty item
         tree, node = self.tree, 1
         if tree[1] < size:
             return self._open(self.capacity - size)
