@@ -71,7 +71,7 @@ def _any(words: list[str]) -> str:
         node[""] = {}
 
     def pattern(node: dict) -> str:
-        branches = [{" ": r"\s", ".": f"[.{DOT}]"}.get(c, c) + pattern(x) for c, x in sorted(node.items()) if c]
+        branches = [{" ": r"\s{1,2}", ".": f"[.{DOT}]"}.get(c, c) + pattern(x) for c, x in sorted(node.items()) if c]
         if not branches:
             return ""
         body = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
@@ -109,19 +109,19 @@ def _abbreviations() -> str:
     stop = rf"[.{DOT}]"
     branches = [
         # Letters with spaces between, and initials: but for a unit after a number, a letter before another with a stop.
-        r"(?<!\d" + _GAP + r")\p{Ll}(?<!(?:[ap]|т)\." + _GAP + r".)(?=\." + _GAP + r"{1,2}\p{L}(?:\.|\s*\z))",
-        r"[ap](?=\." + _GAP + r"m(?!" + _L + r"))",
+        r"(?<!\d" + _GAP + r"{1,2})\p{Ll}(?<!(?:[ap]|т)\." + _GAP + r"{1,2}.)(?=\." + _GAP + r"{1,2}\p{L}(?:\.|\s*\z))",
+        r"[ap](?=\." + _GAP + r"{1,2}m(?!" + _L + r"))",
         r"\p{Lu}(?=\." + follows + r"\p{Lu})",
         leading,
         _last_letters(SPACED_LEADING),
         _any(_words(BEFORE_NUMBER)) + r"(?=\." + _GAP + r"*[\p{N}" + DOT + r"])",
         # A time of day that opens a sentence goes on with its subject.
-        r"(?:[ap]" + DOT + r")?m(?<=(?<!" + _L + r")At" + _GAP + r"\d{1,2}[:.]\d{2}" + _GAP + r"[ap]" + stop + r"\s{0,1}m)(?=\.\s)",
+        r"(?:[ap]" + DOT + r")?m(?<=(?<!" + _L + r")At" + _GAP + r"{1,2}\d{1,2}[:.]\d{2}" + _GAP + r"{1,2}[ap]" + stop + r"\s{0,2}m)(?=\.\s)",
         "(?:" + _any(_words(TRAILING, CLOSED_TRAILING)) + "|" + _last_letters(SPACED_TRAILING) + ")" + goes_on,
         _any(_words(DAYS_AND_MONTHS)) + r"(?=\.(?:[,;:)]|" + follows + r"(?!" + _SMALL_START + r")[(]?[\p{Ll}\p{N}]))",
         # A one-letter title in a script without case; a year with its letter.
         r"[\p{IsArabic}](?=\." + follows + r")",
-        r"г(?<=\d" + _GAP + r"?г)(?=\." + follows + r")",
+        r"г(?<=\d" + _GAP + r"{0,2}г)(?=\." + follows + r")",
         r"\d{1,2}(?<=(?<!" + _L + r")(?:" + "|".join(BEFORE_ORDINAL.split()) + r")" + _GAP + r"{1,2}\d{1,2})(?=\." + follows + r"\p{L})",
         r"\d{1,2}(?=\." + follows + r"(?:" + "|".join(MONTHS.split()) + r")(?!" + _L + r"))",
     ]

@@ -46,9 +46,11 @@ def test_known_sentences(spark):
         glue = "" if name in TIGHT else join.get(name, " ")
         texts.append(HEAD + "\n" + glue.join(told))
         want.append(told)
+        texts.append((HEAD + "\n" + glue.join(told).replace(" ", "\n")).replace("\n", "\r\n"))
+        want.append([t.replace(" ", "\r\n") for t in told])
         texts.append(HEAD + "\n" + ("\n" if glue == " " else glue).join(told) + "\n")
         want.append(told)
-    for name, got, told in zip([n for n in [*CASES, *TIGHT] for _ in range(2)], units(spark, texts), want, strict=True):
+    for name, got, told in zip([n for n in [*CASES, *TIGHT] for _ in range(3)], units(spark, texts), want, strict=True):
         assert got == told, name
 
 
