@@ -6,6 +6,7 @@ included, and may be empty.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 CRLF = "\r\n"
 MAX_ARGUMENT_BYTES = 8 * 1024 * 1024
+_LINE = re.compile(rb"([*$])(\d{1,18})\r\n")
 
 
 def bulk(value: Column) -> Column:
@@ -63,6 +65,58 @@ def parse(data: bytes) -> tuple[list[bytes] | None, str | None]:
     return (out, None) if at == len(data) else (None, "bytes behind the request")
 
 
+def parse_stream(data: bytes) -> tuple[list[bytes], bytes]:
+    """The whole requests at the beginning of ``data``, as bytes, and what is left (a request not yet complete, or broken)."""
+    out, at = [], 0
+    while at < len(data):
+        end = _request_end(data, at)
+        if end is None:
+            break
+        out.append(data[at:end])
+        at = end
+    return out, data[at:]
+
+
+def _request_end(data: bytes, at: int) -> int | None:
+    head = _LINE.match(data, at)
+    if head is None or head[1] != b"*" or not int(head[2]):
+        return None
+    at = head.end()
+    for _ in range(int(head[2])):
+        size = _LINE.match(data, at)
+        if size is None or size[1] != b"$" or int(size[2]) >= MAX_ARGUMENT_BYTES:
+            return None
+        at = size.end() + int(size[2]) + 2
+        if at > len(data) or data[at - 2 : at] != b"\r\n":
+            return None
+    return at
+
+
+def split_requests(rows: DataFrame, data: str) -> DataFrame:
+    """One row per request that was sent one behind the other in ``data``: all columns, ``request_no`` (from 0) and ``request``.
+
+    What isn't a whole request at the end comes out as a last row, to be judged by
+    ``decode_requests``. NULL and empty data have no request.
+    """
+    kept = [c for c in rows.columns if c not in {data, "request_no", "request"}]
+    source = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{data}`").cast("binary").alias("__resp")).where(F.octet_length("__resp") > 0)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, numbers, requests = [], [], []
+            for place, raw in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                found, rest = parse_stream(raw)
+                for number, one in enumerate([*found, rest] if rest else found):
+                    at.append(place)
+                    numbers.append(number)
+                    requests.append(one)
+            taken = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(numbers, pa.int32()), pa.array(requests, pa.binary())], names=[*kept, "request_no", "request"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "__resp"]
+    return source.mapInArrow(split, ", ".join([*fields, "request_no int", "request binary"]))
+
+
 def decode_requests(rows: DataFrame, data: str) -> DataFrame:
     """``rows`` with ``verb`` (upper case), ``key``, ``value`` (BINARY) and ``problem``.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.functions.keys import true_key
@@ -22,6 +22,8 @@ from siltbed.sources import storage
 RECORD_HEAD_BYTES = 45
 SMALL_BYTES = 32_768
 TARGET_BYTES = 128 << 20
+#: Column of a record's bin in the files written.
+BIN = "bin__"
 
 
 def first_fit_decreasing(items: DataFrame, item: str, size: str, group: list[str], target: int = TARGET_BYTES, chunk_items: int = 50_000) -> DataFrame:
@@ -36,11 +38,12 @@ def first_fit_decreasing(items: DataFrame, item: str, size: str, group: list[str
     repeated items are packed once (the largest size counts); a NULL item is left out. Other
     columns are dropped.
     """
-    names = [f"__g{i}" for i in range(len(group))]
-    rows = items.select(*[F.col(f"`{g}`").alias(n) for n, g in zip(names, group, strict=True)], F.col(f"`{item}`").alias("__item"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)), F.lit(0)).alias("__size"))
+    names = [f"__g{i}" for i in range(len(group))] or ["__all"]
+    groups = [F.col(f"`{g}`") for g in group] or [F.lit("all")]
+    rows = items.select(*[g.alias(n) for n, g in zip(names, groups, strict=True)], F.col(f"`{item}`").alias("__item"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)), F.lit(0)).alias("__size"))
     rows = rows.where(F.col("__item").isNotNull()).groupBy(*names, "__item").agg(F.max("__size").alias("__size"))
     chunks = rows.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / chunk_items).cast("bigint").alias("__chunks"))
-    rows = join_small(rows, chunks, names, "inner") if names else rows.crossJoin(F.broadcast(chunks))
+    rows = join_small(rows, chunks, names, "inner")
     rows = rows.withColumn("__chunk", F.pmod(F.xxhash64("__item"), F.col("__chunks"))).drop("__chunks")
     key = [*names, "__chunk"]
     laid = rows.repartition(*key).sortWithinPartitions(*key, F.desc("__size"), "__item").select(*key, "__item", "__size")
@@ -48,7 +51,7 @@ def first_fit_decreasing(items: DataFrame, item: str, size: str, group: list[str
     packed = laid.mapInArrow(_packer(len(key), target), schema)
     label = F.concat_ws("-", *[F.coalesce(F.col(n).cast("string"), F.lit("none")) for n in names], F.col("__chunk").cast("string"), F.col("bin_no").cast("string"))
     return packed.select(
-        *[F.col(n).alias(g) for n, g in zip(names, group, strict=True)], F.col("__item").alias(item), F.col("__size").alias(size), F.col("__chunk").alias("chunk"), "bin_no", label.alias("bin")
+        *[F.col(n).alias(g) for n, g in zip(names, group, strict=False)], F.col("__item").alias(item), F.col("__size").alias(size), F.col("__chunk").alias("chunk"), "bin_no", label.alias("bin")
     )
 
 
@@ -168,30 +171,60 @@ def consolidate(records: DataFrame, file_of: str, plan: DataFrame, home: str, ve
 
     ``plan`` has ``file_id`` and ``bin``; it is frozen first. ``records`` are different rows
     with their file in the column ``file_of``. Written below ``home/snapshots/<version>``:
-    ``plan``, ``data/bin=<bin>`` (one file each) and ``tally``. Raises VerificationFailed,
+    ``plan``, ``data/bin__=<bin>`` (one file each) and ``tally``. Raises VerificationFailed,
     and publishes nothing, if counts or checksums differ. A version that is published
-    already isn't written again. Returns ``records`` columns plus ``bin``.
+    already isn't written again. Returns the columns of ``records`` and ``bin__``.
     """
     spark = records.sparkSession
     final, staged = f"{home}/snapshots/{version}", f"{home}/_staged/{version}"
     if not storage.exists(spark, final):
         storage.delete(spark, staged)
         plan.select("file_id", "bin").write.parquet(f"{staged}/plan")
-        frozen = spark.read.parquet(f"{staged}/plan").select(F.col("file_id").alias(file_of), "bin")
+        frozen = spark.read.parquet(f"{staged}/plan").select(F.col("file_id").alias(file_of), F.col("bin").alias(BIN))
         moved = join_small(records, frozen, [file_of], "inner")
-        moved.repartition("bin").sortWithinPartitions("bin").write.partitionBy("bin").parquet(f"{staged}/data")
+        moved.repartition(BIN).sortWithinPartitions(BIN).write.partitionBy(BIN).parquet(f"{staged}/data")
         # As the rows are read from the old files again: what was written must be what is there.
-        before = _tally(join_small(records, frozen, [file_of], "inner"), "bin", records.columns)
+        before = _tally(join_small(records, frozen, [file_of], "inner"), BIN, records.columns)
         schema = moved.schema
-        after = _tally(spark.read.schema(schema).parquet(f"{staged}/data"), "bin", records.columns)
-        pairs = before.alias("b").join(after.alias("a"), F.col("a.bin") == F.col("b.bin"), "full_outer")
+        after = _tally(spark.read.schema(schema).parquet(f"{staged}/data"), BIN, records.columns)
+        pairs = before.alias("b").join(after.alias("a"), F.col(f"a.{BIN}") == F.col(f"b.{BIN}"), "full_outer")
         wrong = pairs.where(~(F.col("a.records").eqNullSafe(F.col("b.records")) & F.col("a.checksum").eqNullSafe(F.col("b.checksum"))))
         if not wrong.isEmpty():
             raise VerificationFailed(f"{version}: {wrong.limit(3).collect()}")
         after.write.parquet(f"{staged}/tally")
         storage.publish(spark, staged, final)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
-    return spark.read.schema(f"{fields}, bin string").parquet(f"{final}/data")
+    return spark.read.schema(f"{fields}, {BIN} string").parquet(f"{final}/data")
+
+
+def consolidate_folder(spark: SparkSession, folder: str, home: str, version: str, small: int = 32 << 20, target: int = TARGET_BYTES) -> DataFrame:
+    """Consolidate the small Parquet files of a folder; the rows of the snapshot ``version``.
+
+    The listing (names and sizes, no file is opened) is frozen with the plan; files of
+    ``small`` bytes and more are named in the snapshot and not touched. The old files stay
+    until the caller removes them. Columns must be ones that can be hashed (no maps).
+    """
+    from siltbed.operators.incremental import list_files
+
+    frozen = f"{home}/frozen/{version}"
+    if not storage.exists(spark, f"{frozen}/_SUCCESS"):
+        list_files(spark, folder, checksum=False).select("path", "size").write.mode("overwrite").parquet(frozen)
+    listing = spark.read.parquet(frozen)
+    tiny = listing.where(F.col("size") < small)
+    schema = spark.read.parquet(folder).schema
+    path = "__source_file"
+
+    def read(files: DataFrame) -> DataFrame:
+        names = [r.path for r in files.select("path").toLocalIterator()]
+        return spark.read.schema(schema).parquet(*names) if names else spark.createDataFrame([], schema)
+
+    if tiny.isEmpty():
+        return read(listing)
+    plan = first_fit_decreasing(tiny, "path", "size", [], target).select(F.col("path").alias("file_id"), "bin")
+    # A listing names files by URI as the file source does, so both sides agree.
+    records = read(tiny).withColumn(path, F.col("_metadata.file_path"))
+    rewritten = consolidate(records, path, plan, home, version)
+    return rewritten.drop(path, BIN).unionByName(read(listing.where(F.col("size") >= small)))
 
 
 def consolidated_layout(slices: DataFrame, file_infos: DataFrame, home: str, version: str, small: int = SMALL_BYTES, target: int = TARGET_BYTES) -> DataFrame:
@@ -206,6 +239,6 @@ def consolidated_layout(slices: DataFrame, file_infos: DataFrame, home: str, ver
     rewritten = consolidate(records, "file_id_", plan, home, version)
     levels = frozen_listing(file_infos, slices).select(F.col("file_id").alias("file_id_"), "file_level", (F.col("size") >= small).alias("__large"))
     large = join_small(records.select("rec_id", "db_name", "file_id_"), levels.where("__large").drop("__large"), ["file_id_"], "inner")
-    moved = join_small(rewritten.select("rec_id", "db_name", "file_id_", "bin"), levels.drop("__large"), ["file_id_"], "inner")
+    moved = join_small(rewritten.select("rec_id", "db_name", "file_id_", BIN), levels.drop("__large"), ["file_id_"], "inner")
     kept = large.select("rec_id", "db_name", "file_level", F.col("file_id_").cast("string").alias("file"))
-    return kept.unionByName(moved.select("rec_id", "db_name", "file_level", F.col("bin").alias("file")))
+    return kept.unionByName(moved.select("rec_id", "db_name", "file_level", F.col(BIN).alias("file")))

@@ -98,8 +98,8 @@ def median_split(rows: DataFrame, key: str, by: list[str] | None = None) -> Data
     order = shortlex_sort(F.col(f"`{key}`"))
     if not by:
         at = ranked(rows.select(F.col(f"`{key}`").alias("key")), shortlex_sort(F.col("key")), "position")
-        n = at.agg(F.count(F.lit(1)).alias("records"))
-        return at.join(F.broadcast(n)).where(F.col("position") == F.floor(F.col("records") / 2) + 1).select("key", "records")
+        n = at.agg(F.count(F.lit(1))).scalar()
+        return at.where(F.col("position") == F.floor(n / 2) + 1).select("key", n.alias("records"))
     w = Window.partitionBy(*by)
     numbered = rows.withColumn("__r", F.row_number().over(w.orderBy(*order))).withColumn("records", F.count(F.lit(1)).over(w))
     return numbered.where(F.col("__r") == F.floor(F.col("records") / 2) + 1).select(*by, F.col(f"`{key}`").alias("key"), "records")

@@ -43,10 +43,10 @@ def pick_overlapping(files: DataFrame, low_level: int, high_level: int) -> DataF
     Files without keys don't count."""
     keyed = files.where(F.col("min_key").isNotNull() & F.col("max_key").isNotNull())
     low = keyed.where(F.col("level") == low_level)
-    bounds = low.agg(F.min(shortlex(F.col("min_key"))).alias("lo"), F.max(shortlex(F.col("max_key"))).alias("hi"))
-    high = keyed.where(F.col("level") == high_level).join(F.broadcast(bounds))  # the bounds are one row
-    meets = key_at_least(F.col("max_key"), F.col("lo.k")) & key_at_least(F.col("hi.k"), F.col("min_key"))
-    return low.unionByName(high.where(meets).drop("lo", "hi"))
+    lo = low.agg(F.min(shortlex(F.col("min_key")))).scalar()
+    hi = low.agg(F.max(shortlex(F.col("max_key")))).scalar()
+    meets = key_at_least(F.col("max_key"), lo["k"]) & key_at_least(hi["k"], F.col("min_key"))
+    return low.unionByName(keyed.where((F.col("level") == high_level) & meets))
 
 
 def needs_compaction(files: DataFrame, level: int = 0, limit: int = LEVEL0_FILES) -> DataFrame:

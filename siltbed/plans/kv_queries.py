@@ -9,7 +9,7 @@ from siltbed.functions import keys, record, resp, status, wal
 from siltbed.operators import cache, cursor, layout, log, manifest, merge
 from siltbed.operators import wal as wal_ops
 from siltbed.plans.core_problems import TRUE_KEY_HEX
-from siltbed.session import cut, scratch
+from siltbed.session import cut, join_small, scratch
 from siltbed.sources.storage import tables
 from siltbed.streaming.upsert import UpsertSink
 from siltbed.table import KvTable
@@ -406,16 +406,15 @@ def wal_lsn(spark: SparkSession, sf: str) -> DataFrame:
 @query(_WAL_SQL + ", m AS (SELECT event_type, max(lsn) AS top, min(lsn) + 1000 AS read_to FROM l GROUP BY 1) SELECT l.event_type, event_id, lsn FROM l JOIN m ON m.event_type = l.event_type WHERE lsn > read_to AND lsn <= top - 100")
 def wal_replay(spark: SparkSession, sf: str) -> DataFrame:
     rows = _wal(spark, sf)
-    marks = rows.groupBy(F.col("event_type").alias("t")).agg((F.max("lsn") - 100).alias("applied"), (F.min("lsn") + 1000).alias("read"))
-    joined = rows.join(F.broadcast(marks), F.col("event_type") == F.col("t"))  # one row per log
+    marks = rows.groupBy("event_type").agg((F.max("lsn") - 100).alias("applied"), (F.min("lsn") + 1000).alias("read"))
+    joined = join_small(rows, marks, ["event_type"], "inner")
     return wal_ops.replay_after(joined, "lsn", F.col("read"), F.col("applied")).select("event_type", "event_id", "lsn")
 
 
 @query("SELECT db_name, lsn, log_type FROM wal_log WHERE (lsn >> 32) >= (SELECT max(lsn) >> 32 FROM wal_log)")
 def wal_truncate(spark: SparkSession, sf: str) -> DataFrame:
     w = tables(spark, sf)("wal_log")
-    flushed = w.agg(F.max("lsn").alias("flushed"))
-    return wal_ops.truncate(w.join(F.broadcast(flushed)), "lsn", F.col("flushed")).select("db_name", "lsn", "log_type")  # the other side is one row
+    return wal_ops.truncate(w, "lsn", w.agg(F.max("lsn")).scalar()).select("db_name", "lsn", "log_type")
 
 
 @query("SELECT ckpt_id, db_name, CASE WHEN lsn_new = lsn_copy THEN lsn_copy ELSE lsn_prev END AS lsn FROM checkpoints")

@@ -44,27 +44,37 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int = 100_000, salts: int = 64) -> DataFrame:
-    """Join a table with a usually tiny one without gathering a hot key of ``big`` in one task.
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int = 100_000, hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
+    """Join a table with a usually small one without gathering a hot key of ``big`` in one task.
 
-    ``small`` is counted first. Up to ``rows`` rows it is broadcast. Beyond that both
-    sides are shuffled on the key and a salt: ``big`` draws one of ``salts`` values by the
-    hash of its whole row, ``small`` is repeated once per value. Null keys are equal to
-    null keys. ``how`` is inner, left, left_semi or left_anti.
+    ``small`` is counted first. Up to ``rows`` rows of it are broadcast. Beyond that both
+    sides are shuffled on the key, and keys with more than ``hot_rows`` rows in ``big``
+    (found by a count with partial sums) are salted: their rows in ``big`` draw one of
+    ``salts`` numbers by the hash of the whole row, their rows in ``small`` are repeated
+    once per number, and all other keys stay as they are. Null keys are equal to null keys.
+    ``how`` is inner, left, left_semi or left_anti.
     """
     names = {k: f"__js_{k}" for k in on}
     right = small.select([F.col(f"`{k}`").alias(v) for k, v in names.items()] + [F.col(f"`{c}`") for c in small.columns if c not in names])
     if within(small, rows):
-        left, right, salt = big, F.broadcast(right), None
-    else:
-        salt = "__js_salt"
-        left = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)))
-        right = right.withColumn("__js_right", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+        return _null_safe_join(big, F.broadcast(right), names, how).drop(*names.values())
+    hot = big.groupBy(*[F.col(f"`{k}`") for k in on]).agg(F.count(F.lit(1)).alias("__js_n")).where(F.col("__js_n") > hot_rows)
+    hot = hot.select(*[F.col(f"`{k}`").alias(f"__js_h{i}") for i, k in enumerate(on)], F.lit(True).alias("__js_hot"))
+    if not within(hot, rows):
+        raise ValueError(f"more than {rows} keys have over {hot_rows} rows each; raise hot_rows")
+    hot = F.broadcast(hot)
+    draw = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts))
+    left = _null_safe_join(big, hot, {k: f"__js_h{i}" for i, k in enumerate(on)}, "left").withColumn("__js_salt", F.when(F.col("__js_hot"), draw).otherwise(0))
+    left = left.select(*[F.col(f"`{c}`") for c in big.columns], "__js_salt")
+    every = F.when(F.col("__js_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    spread = _null_safe_join(right, hot, {v: f"__js_h{i}" for i, v in enumerate(names.values())}, "left").withColumn("__js_right", F.explode(every))
+    spread = spread.select(*[F.col(f"`{c}`") for c in right.columns], "__js_right")
+    return _null_safe_join(left, spread, {**names, "__js_salt": "__js_right"}, how).drop(*names.values(), "__js_salt", "__js_right")
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str) -> DataFrame:
     condition = None
-    for k, v in names.items():
-        one = left[f"`{k}`"].eqNullSafe(right[v])
+    for a, b in pairs.items():
+        one = left[f"`{a}`"].eqNullSafe(right[f"`{b}`"])
         condition = one if condition is None else condition & one
-    if salt:
-        condition = condition & (left[salt] == right["__js_right"])
-    out = left.join(right, condition, how)
-    return out.drop(*names.values(), "__js_salt", "__js_right")
+    return left.join(right, condition, how)

@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.functions.resp import bulk, decode_requests, simple
+from siltbed.functions.resp import bulk, decode_requests, simple, split_requests
+
+
+def from_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of (version, data) from files that hold what clients sent, one request behind the other.
+
+    ``version`` orders the requests: by the file's time of change, then by place in it.
+    """
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
+    sent = split_requests(files.select(F.unix_millis("modificationTime").alias("at"), "content"), "content")
+    return sent.select((F.col("at") * 1_000_000 + F.col("request_no")).alias("version"), F.col("request").alias("data"))
+
+
+def from_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+    """A stream of (version, data) from a Kafka topic, one request per message. Needs Spark's Kafka package on the class path."""
+    messages = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
+    return messages.select((F.col("partition").cast("bigint") * F.lit(1 << 48) + F.col("offset")).alias("version"), F.col("value").alias("data"))
 
 
 def writes(requests: DataFrame, data: str, order: str) -> DataFrame:

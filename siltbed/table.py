@@ -30,21 +30,43 @@ class KvTable:
         text = storage.read_text(spark, f"{self.home}/manifest.json")
         if text is None and not create:
             raise InvalidPath(home)
-        self.state = json.loads(text) if text else {"seq": 0, "runs": []}
+        self.state = json.loads(text) if text else {"seq": 0, "runs": [], "checkpoint": [0, 0, 0]}
 
-    def _commit(self, runs: list[dict], seq: int) -> None:
-        state = {"seq": seq, "runs": runs}
+    def _commit(self, runs: list[dict], seq: int, checkpoint: int | None = None) -> None:
+        triple = self.state["checkpoint"] if checkpoint is None else [self.checkpoint, checkpoint, checkpoint]
+        state = {"seq": seq, "runs": runs, "checkpoint": triple}
         storage.write_text(self.spark, f"{self.home}/manifest.json", json.dumps(state))
         self.state = state
 
-    def _write(self, rows: DataFrame) -> None:
+    @property
+    def checkpoint(self) -> int:
+        """The last lsn that ``recover`` has taken over: of (previous, new, copy) the new one if both its copies agree."""
+        previous, new, copy = self.state["checkpoint"]
+        return copy if new == copy else previous
+
+    def recover(self, log: DataFrame) -> int:
+        """Take over the records (lsn, kind, key, value) of a log that lie beyond the checkpoint; the new checkpoint.
+
+        ``kind`` is put or delete, other records only move the checkpoint. The run and the
+        checkpoint are committed together, so a repeat after a failure takes over nothing
+        twice. The lsn is the version of what is written.
+        """
+        new = log.where(F.col("lsn") > self.checkpoint)
+        last = new.agg(F.max("lsn")).first()[0]
+        if last is None:
+            return self.checkpoint
+        writes = new.where(F.col("kind").isin("put", "delete")).select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.col("lsn").alias("version"), (F.col("kind") == "delete").alias("deleted"))
+        self._write(writes.withColumn("value", F.when(~F.col("deleted"), F.coalesce("value", F.unhex(F.lit(""))))), last)
+        return last
+
+    def _write(self, rows: DataFrame, checkpoint: int | None = None) -> None:
         bad = log.invalid_keys(rows, "key")
         if not bad.isEmpty():
             raise InvalidKey(f"a key must have 1 to 64 bytes: {bad.first()['key']!r}")
         seq = self.state["seq"] + 1
         run = log.latest(rows.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("version", F.coalesce("version", "seq")).select(*SCHEMA_COLUMNS), "key", ["version", "seq"])
         merge.write_run(run, "key", f"{self.home}/runs/{seq}")
-        self._commit([*self.state["runs"], {"path": f"runs/{seq}", "level": 0}], seq)
+        self._commit([*self.state["runs"], {"path": f"runs/{seq}", "level": 0}], seq, checkpoint)
 
     def put(self, rows: DataFrame) -> None:
         """Store (key, value[, version]) rows; other columns are ignored. Raises InvalidKey."""

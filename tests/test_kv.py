@@ -168,7 +168,7 @@ def test_join_small_both_ways(spark):
     big = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), (None, 2), ("c", 3)], "k string, v int")
     small = spark.createDataFrame([("a", "x"), (None, "n"), ("z", "y")], "k string, w string")
     for how in ("left", "inner", "left_semi", "left_anti"):
-        assert rows(join_small(big, small, ["k"], how)) == rows(join_small(big, small, ["k"], how, rows=1, salts=5))
+        assert rows(join_small(big, small, ["k"], how)) == rows(join_small(big, small, ["k"], how, rows=2, hot_rows=9, salts=5))
     assert join_small(big, small, ["k"], "inner").count() == 51
 
 
@@ -235,3 +235,30 @@ def test_stream_equals_batch(spark, tmp_path):
     sink.compact()
     sink.apply(spark.createDataFrame([("0", 10**6, "repeated batch", False)], schema), 0)
     assert rows(sink.table()) == want
+
+
+def test_recovery_from_a_log(spark, tmp_path):
+    schema = "lsn bigint, kind string, key binary, value binary"
+    records = [(1, "put", b"a", b"1"), (2, "put", b"b", b"1"), (3, "delete", b"a", None), (4, "none", None, None)]
+    table = KvTable(spark, f"file://{tmp_path}/t")
+    assert table.recover(spark.createDataFrame(records[:2], schema)) == 2
+    assert table.recover(spark.createDataFrame(records[:2], schema)) == 2
+    assert len(table.state["runs"]) == 1
+    assert table.recover(spark.createDataFrame(records, schema)) == 4
+    again = KvTable(spark, f"file://{tmp_path}/t", create=False)
+    assert again.checkpoint == 4 and rows(again.rows().select("key", "value")) == [(b"b", b"1")]
+    again.state["checkpoint"] = [2, 9, 4]
+    assert again.checkpoint == 2
+
+
+def test_requests_from_files(spark, tmp_path):
+    encode = lambda *a: b"*%d\r\n" % len(a) + b"".join(b"$%d\r\n%s\r\n" % (len(x), x) for x in a)
+    sent = [encode(b"SET", b"a", b"1\r\n*1"), encode(b"SET", b"b", b""), encode(b"DEL", b"a"), encode(b"GET", b"b")]
+    assert resp.parse_stream(b"".join(sent) + b"*1\r\n$5\r\nab") == (sent, b"*1\r\n$5\r\nab")
+    assert resp.parse_stream(b"junk") == ([], b"junk")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "client1").write_bytes(b"".join(sent) + b"junk")
+    stream = resp_stream.writes(resp_stream.from_files(spark, str(tmp_path / "in")), "data", "version")
+    sink = UpsertSink(spark, f"file://{tmp_path}/out", "key", ["version"], "deleted")
+    sink.start(stream, availableNow=True).awaitTermination()
+    assert rows(sink.table().select("key", "value")) == [(b"b", b"")]

@@ -270,3 +270,18 @@ def test_consolidate_publishes_nothing_that_differs(spark, tmp_path, monkeypatch
     assert not storage.exists(spark, f"file://{tmp_path}/snapshots/v1")
     monkeypatch.setattr(consolidate, "_tally", real)
     assert consolidate.consolidated_layout(slices, files, f"file://{tmp_path}", "v1").count() == 6
+
+
+def test_consolidate_folder(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for i in range(9):
+        spark.createDataFrame([(i, None if i % 2 else b"x")] * (i + 1), "id bigint, bin binary").coalesce(1).write.mode("append").parquet(source)
+    spark.range(300_000).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("bin")).coalesce(1).write.mode("append").parquet(source)
+    want = rows(spark.read.parquet(source).groupBy("id").count())
+    out = consolidate.consolidate_folder(spark, source, f"file://{tmp_path}/home", "v1", small=100_000, target=4_000)
+    assert rows(out.groupBy("id").count()) == want and out.columns == ["id", "bin"]
+    bins = storage.children(spark, f"file://{tmp_path}/home/snapshots/v1/data")
+    assert 1 < len(bins) < 9
+    # Files that come later aren't in the frozen listing.
+    spark.createDataFrame([(777, None)], "id bigint, bin binary").coalesce(1).write.mode("append").parquet(source)
+    assert rows(consolidate.consolidate_folder(spark, source, f"file://{tmp_path}/home", "v1", small=100_000, target=4_000).groupBy("id").count()) == want
