@@ -79,8 +79,9 @@ def p4_wrong_answers(spark: SparkSession, sf: str) -> DataFrame:
             F.sum((~F.col("truth") & F.col("said")).cast("bigint")).alias("false_alarms"),
         )
         out = row if out is None else out.unionByName(row)
-    keys = history.agg(F.count(F.lit(1)).alias("n"))
-    return out.crossJoin(F.broadcast(keys)).select("hash_bits", "probes", "new_keys", "missed", "false_alarms", (F.col("false_alarms") / F.greatest("new_keys", F.lit(1))).alias("measured_rate"), (F.col("n") * F.pow(F.lit(2.0), -F.col("hash_bits"))).alias("expected_rate"))
+    keys = history.agg(F.count(F.lit(1))).scalar()
+    measured = F.col("false_alarms") / F.greatest("new_keys", F.lit(1))
+    return out.select("*", measured.alias("measured_rate"), (keys * F.pow(F.lit(2.0), -F.col("hash_bits"))).alias("expected_rate"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p4_found, p4_batches, p4_wrong_answers)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltbed.llm import leaks, packing, sentences
 from siltbed.sources.storage import tables
@@ -12,6 +13,15 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(tables(spark, sf)("documents"))
 
 
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the containers are filled: tokens, containers, the fewest that could hold them, and the share left empty."""
+    packed = packing.containers(tables(spark, sf)("documents"))
+    used = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    total = used.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("containers"), F.max("n").alias("fullest"))
+    fewest = F.ceil(F.col("tokens") / packing.CAPACITY)
+    return total.select("tokens", "containers", "fullest", fewest.alias("fewest_possible"), F.round(1 - F.col("tokens") / (F.col("containers") * packing.CAPACITY), 6).alias("empty_share"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     t = tables(spark, sf)
     return leaks.leaks(t("documents"), "doc_id", "text", t("eval_items"), "item_id", "item_text")
@@ -25,5 +35,5 @@ def p8_units(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_units(tables(spark, sf)("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_containers, p7_found, p8_found, p8_units)}
+QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_found, p8_found, p8_units)}
 SQL: dict[str, str] = {}
