@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.functions.keys import true_key
-from siltbed.session import join_small
+from siltbed.session import cut, join_small
 from siltbed.sources import storage
 
 RECORD_HEAD_BYTES = 45
@@ -151,9 +151,17 @@ def frozen_listing(file_infos: DataFrame, slices: DataFrame) -> DataFrame:
 
 
 def consolidation_plan(file_infos: DataFrame, slices: DataFrame, small: int = SMALL_BYTES, target: int = TARGET_BYTES) -> DataFrame:
-    """Which live sealed files go into which new file: (db_name, file_level, file_id, size, chunk, bin_no, bin)."""
-    tiny = frozen_listing(file_infos, slices).where(F.col("size") < small)
-    return first_fit_decreasing(tiny, "file_id", "size", ["db_name", "file_level"], target)
+    """Which live sealed files go into which new file: (db_name, file_level, file_id, size, chunk, bin_no, bin).
+
+    The listing is written to the shared folder first, so that all that follows sees the
+    same files, whatever is added to the tables meanwhile.
+    """
+    return pack_small(cut(frozen_listing(file_infos, slices)), small, target)
+
+
+def pack_small(listing: DataFrame, small: int = SMALL_BYTES, target: int = TARGET_BYTES) -> DataFrame:
+    """The files of a listing (file_id, db_name, file_level, size) that are too small, in bins by database and level."""
+    return first_fit_decreasing(listing.where(F.col("size") < small), "file_id", "size", ["db_name", "file_level"], target)
 
 
 class VerificationFailed(RuntimeError):
@@ -235,9 +243,9 @@ def consolidated_layout(slices: DataFrame, file_infos: DataFrame, home: str, ver
     """
     columns = ["rec_id", "db_name", "key_", "key_length_", "version_", "file_id_", "value_", "seq_"]
     records = slices.select(*columns).where(F.col("file_id_").isNotNull()).distinct()
-    plan = consolidation_plan(file_infos, slices, small, target)
-    rewritten = consolidate(records, "file_id_", plan, home, version)
-    levels = frozen_listing(file_infos, slices).select(F.col("file_id").alias("file_id_"), "file_level", (F.col("size") >= small).alias("__large"))
+    listing = cut(frozen_listing(file_infos, slices))
+    rewritten = consolidate(records, "file_id_", pack_small(listing, small, target), home, version)
+    levels = listing.select(F.col("file_id").alias("file_id_"), "file_level", (F.col("size") >= small).alias("__large"))
     large = join_small(records.select("rec_id", "db_name", "file_id_"), levels.where("__large").drop("__large"), ["file_id_"], "inner")
     moved = join_small(rewritten.select("rec_id", "db_name", "file_id_", BIN), levels.drop("__large"), ["file_id_"], "inner")
     kept = large.select("rec_id", "db_name", "file_level", F.col("file_id_").cast("string").alias("file"))
