@@ -2,41 +2,60 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only a local master may go without the setting: there the driver and the
-    executors are one process, so a temporary folder of this machine is shared.
+    Only a local master may go without the setting: there the driver and the executors are
+    one process, so a temporary folder of this machine is shared. It is removed at exit.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = getattr(shared_dir, "_made", None)
+    made = getattr(shared_dir, "_local", None)
     if made is None:
-        made = shared_dir._made = tempfile.mkdtemp(prefix="siltbed-")
+        made = shared_dir._local = tempfile.mkdtemp(prefix="siltbed-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
     return made
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path of its own in the shared folder (nothing is created yet)."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what this process has written to the shared folder; results that still read it end."""
+    from siltbed.sources import storage
+
+    while _made:
+        storage.delete(spark, _made.pop())
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+    """``df`` with its lineage cut: written once to the shared folder and read from there.
+
+    A table costs one computation of ``df`` (a checkpoint takes its last stage twice), is
+    read by column, and tells the planner its size. Rows may come back in another order.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def within(df: DataFrame, rows: int) -> bool:

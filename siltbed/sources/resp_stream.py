@@ -20,7 +20,11 @@ def from_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) ->
 
 
 def from_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """A stream of (version, data) from a Kafka topic, one request per message. Needs Spark's Kafka package on the class path."""
+    """A stream of (version, data) from a Kafka topic, one request per message.
+
+    The messages must be partitioned by key: the order of two partitions means nothing.
+    Needs Spark's Kafka package on the class path.
+    """
     messages = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
     return messages.select((F.col("partition").cast("bigint") * F.lit(1 << 48) + F.col("offset")).alias("version"), F.col("value").alias("data"))
 
