@@ -174,14 +174,15 @@ def paragraphs_marked(prose: Column) -> Column:
     """The prose cut by SEP into paragraphs and pieces that are none, which begin with SKIP.
 
     No prose are blank lines, lines that start with ``>`` with the line ending in a colon
-    right above them, and lines indented by four blanks. A list line that begins a
-    paragraph, or follows another one, is a paragraph without its marker.
+    right above them, and lines indented by four blanks. A list line is a paragraph without
+    its marker. As an ordinal may begin any line of a paragraph, a number is a marker only
+    where a paragraph begins, behind another list line, or behind a line ending in a colon.
     """
     clean = _replace(prose, f"[{_OWN}]", "\ufffd")
     quoted = r"(?:[^\n]*:[ \t]*\r?\n(?=>))?>[^\n]*(?:\n|\z)"
     between = r"(?m)(?:^(?:" + quoted + r"| {4}[^\n]*(?:\n|\z)|[ \t 　\r]*\n))++"
     cut = _replace(clean, between, f"{SEP}{SKIP}$0{SEP}")
-    return _replace(cut, rf"(?:\A|(?<={SEP})|\G(?<!\A))([-*] |\d{{1,3}}\. )([^\n{SEP}]*\n?)", f"{SKIP}$1{SEP}$2{SEP}")
+    return _replace(cut, rf"((?:\A|(?<={SEP}|:\n|:\r\n)|\G(?<!\A))\d{{1,3}}\. |(?:\A|(?<=[\n{SEP}]))[-*] )([^\n{SEP}]*\n?)", f"{SEP}{SKIP}$1{SEP}$2{SEP}")
 
 
 def sentences_marked(paragraph: Column) -> Column:

@@ -57,6 +57,7 @@ def test_known_sentences(spark):
 MULTI = HEAD + 'Content-Type: multipart/mixed;\n\tboundary="=_b+1"\n\nThis is no prose. Not at all.\n--=_b+1\nContent-Type: text/plain\n\nOne. Two.\n--=_b+1\nContent-Type: text/html\n\n<p>No. Not this.</p>\n--=_b+1\n\nThree. Four\n--=_b+1\nContent-Type: text/plain\nContent-Disposition: attachment\n\nNo. Not this.\n--=_b+1--\nNo. Epilogue.\n'
 STRUCTURE = [
     (HEAD + "\nHello all,\n\nA b.\nC d\n\n- first point\n- second. With two.\n* third\n1. fourth\n\nKind regards\nAnn Lee\n-- \nAnn. Lee.\n", ["Hello all,", "A b.", "C d", "first point", "second.", "With two.", "third", "fourth", "Kind regards\nAnn Lee"]),
+    (HEAD + "\nDo so:\n1. one\n2. two\nThe\n4. Okt. came.\n* star\nend\n- - x\n", ["Do so:", "one", "two", "The\n4. Okt. came.", "star", "end", "- x"]),
     (HEAD + "\nYes. No.\nOn 1.2. Ann wrote:\n> Quoted. Text.\n>\n> More.\nAfter it.\n\n    12:00 log. Line.\n    13:00 more.\nLast", ["Yes.", "No.", "After it.", "Last"]),
     (HEAD + "\nOne.\n______\nNo. More.\n", ["One."]),
     (HEAD + "\nOne.\n____\nTwo.\n-----Original Message-----\nNo.\n", ["One.", "____\nTwo."]),
