@@ -139,15 +139,17 @@ def _of(head: Column, field: str, value: str) -> Column:
 def mail_parts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(row, doc_id, part, length, before, prose): the parts of every mail in order.
 
-    A part is what lies between two boundary lines (those of all multiparts that the mail
-    declares). ``prose`` is the body of a part that is text/plain (or says nothing), not
+    A part is what lies between two boundary lines (those of all multiparts that a
+    multipart mail declares). ``prose`` is the body of a part that is text/plain (or says nothing), not
     base64 or quoted-printable and not an attachment, up to its signature or an appended
     original; it is NULL for other parts. ``before`` is where it begins in the part.
     """
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").isNotNull())
     names = F.regexp_extract_all("text", F.lit(r"(?i)boundary[ \t]*=[ \t]*\"?([^\"\s;]+)"), F.lit(1))
     quoted = F.concat_ws("|", F.transform(F.array_distinct(names), lambda b: F.concat(F.lit("\\Q"), F.replace(b, F.lit("\\E"), F.lit("")), F.lit("\\E"))))
-    rows = rows.withColumn("names", F.when(F.col("text").rlike(r"(?i)content-type:[ \t]*(?:\r?\n[ \t]+)?multipart/"), quoted))
+    # Only a mail whose header says multipart is searched for boundaries.
+    header = F.substring_index(F.substring_index("text", "\n\n", 1), "\r\n\r\n", 1)
+    rows = rows.withColumn("names", F.when(header.rlike(r"(?im)^content-type:[ \t]*(?:\r?\n[ \t]+)?multipart/"), quoted))
     fence = F.concat(F.lit("(?m)(?=^--(?:"), F.col("names"), F.lit(r")(?:--)?[ \t]*\r?$)"))
     parts = F.when(F.length("names") > 0, F.split("text", fence)).otherwise(F.array("text"))
     part = rows.select("row", "doc_id", "names", F.posexplode(parts).alias("part", "piece"))
@@ -182,7 +184,7 @@ def paragraphs_marked(prose: Column) -> Column:
     quoted = r"(?:[^\n]*:[ \t]*\r?\n(?=>))?>[^\n]*(?:\n|\z)"
     between = r"(?m)(?:^(?:" + quoted + r"| {4}[^\n]*(?:\n|\z)|[ \t 　\r]*\n))++"
     cut = _replace(clean, between, f"{SEP}{SKIP}$0{SEP}")
-    return _replace(cut, rf"((?:\A|(?<={SEP}|:\n|:\r\n)|\G(?<!\A))\d{{1,3}}\. |(?:\A|(?<=[\n{SEP}]))[-*] )([^\n{SEP}]*\n?)", f"{SEP}{SKIP}$1{SEP}$2{SEP}")
+    return _replace(cut, rf"(?=[-*\d])((?:\A|(?<={SEP}|:\n|:\r\n)|\G(?<!\A))\d{{1,3}}\. |(?:\A|(?<=[\n{SEP}]))[-*] )([^\n{SEP}]*\n?)", f"{SEP}{SKIP}$1{SEP}$2{SEP}")
 
 
 def sentences_marked(paragraph: Column) -> Column:
