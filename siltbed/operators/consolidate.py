@@ -238,11 +238,11 @@ def consolidate_folder(spark: SparkSession, folder: str, home: str, version: str
 def consolidated_layout(slices: DataFrame, file_infos: DataFrame, home: str, version: str, small: int = SMALL_BYTES, target: int = TARGET_BYTES) -> DataFrame:
     """(rec_id, db_name, file_level, file) of every record in live sealed files above level 0, each once.
 
-    Small files are rewritten first; ``file`` is the bin's name for their records and the
-    old file id for the others.
+    Small files are rewritten first, with every column of ``slices``, and the checksums
+    cover all of them; ``file`` is the bin's name for their records and the old file id for
+    the others.
     """
-    columns = ["rec_id", "db_name", "key_", "key_length_", "version_", "file_id_", "value_", "seq_"]
-    records = slices.select(*columns).where(F.col("file_id_").isNotNull()).distinct()
+    records = slices.where(F.col("file_id_").isNotNull()).distinct()
     listing = cut(frozen_listing(file_infos, slices))
     rewritten = consolidate(records, "file_id_", pack_small(listing, small, target), home, version)
     levels = listing.select(F.col("file_id").alias("file_id_"), "file_level", (F.col("size") >= small).alias("__large"))

@@ -255,6 +255,17 @@ def test_consolidate_keeps_every_record_once(spark, tmp_path):
     assert storage.children(spark, f"{home}/snapshots/v1/data") == before
 
 
+def test_consolidate_carries_and_checks_every_column(spark, tmp_path, monkeypatch):
+    files, slices = small_store(spark)
+    whole = slices.withColumns({"block_id_": F.col("rec_id") * 3, "block_type_": F.lit(1).cast("tinyint"), "offset_": F.col("rec_id") * 7, "data_length_": F.col("rec_id") + 45, "stored_at": F.lit(T0).cast("timestamp_ntz")})
+    checked, real = [], consolidate._tally
+    monkeypatch.setattr(consolidate, "_tally", lambda records, where, columns: checked.append(columns) or real(records, where, columns))
+    consolidate.consolidated_layout(whole, files, f"file://{tmp_path}", "v1", target=300)
+    written = spark.read.parquet(f"file://{tmp_path}/snapshots/v1/data")
+    assert rows(written.select(*whole.columns)) == rows(whole.where(F.col("rec_id").isin(1, 2, 7, 8)).distinct())
+    assert checked == [whole.columns] * 2
+
+
 def test_consolidate_publishes_nothing_that_differs(spark, tmp_path, monkeypatch):
     files, slices = small_store(spark)
     real, calls = consolidate._tally, []
