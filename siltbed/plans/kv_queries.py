@@ -346,13 +346,24 @@ def kv_hash_routing(spark: SparkSession, sf: str) -> DataFrame:
     """Hash, shard and ring bucket of the keys whose writers agree about the hash (three at least).
 
     Here they are computed from the key; the SQL, which has no such hash function, takes
-    the ones that the table carries.
+    the ones that the table carries. It is the part of ``kv_hash_routes`` that SQL can check.
     """
     t = tables(spark, sf)("key_history").where(F.col("hash_0_") != 0)
     key = keys.true_key(F.col("data_"), F.col("length_")).alias("k")
     agreed = t.select(key, "hash_0_").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("hash_0_").alias("lo"), F.max("hash_0_").alias("hi")).where("n >= 3 AND lo = hi")
+    return _routes(agreed)
+
+
+def _routes(distinct_keys: DataFrame) -> DataFrame:
     h = keys.hash0(F.col("k"))
-    return agreed.select(F.hex("k").alias("key_hex"), h.alias("h"), keys.shard8(h).alias("shard"), keys.ring_bucket(h).alias("bucket"))
+    return distinct_keys.select(F.hex("k").alias("key_hex"), h.alias("h"), keys.shard8(h).alias("shard"), keys.ring_bucket(h).alias("bucket"))
+
+
+@query(None)
+def kv_hash_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash, shard and ring bucket of every true key of the key history, whatever hashes its rows carry."""
+    key = keys.true_key(F.col("data_"), F.col("length_")).alias("k")
+    return _routes(tables(spark, sf)("key_history").select(key).where(F.col("k").isNotNull()).distinct())
 
 
 @query("SELECT doc_id, 45 + strlen(CAST(doc_id AS VARCHAR)) + coalesce(strlen(text), 0) AS record_bytes FROM documents")

@@ -3,9 +3,11 @@
 import collections
 
 import pytest
+import xxhash
 
 import __spark_entry__ as entry
 from siltbed.plans import catalogue
+from siltbed.plans.core_problems import TRUE_KEY_HEX
 
 
 def compare(spark, duck, sf, f, sql):
@@ -30,6 +32,17 @@ def test_query_without_sql_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
 
+def test_every_key_is_routed(spark, duck, sf):
+    got = {r.key_hex: (r.h, r.shard, r.bucket) for r in catalogue.QUERIES["kv_hash_routes"](spark, sf).collect()}
+    true = {k for (k,) in duck.sql(f"SELECT DISTINCT {TRUE_KEY_HEX.format(key='data_', length='length_')} FROM key_history").fetchall() if k}
+    assert set(got) == true and catalogue.QUERIES["kv_hash_routes"](spark, sf).count() == len(true)
+    for key, (h, shard, bucket) in got.items():
+        u = xxhash.xxh64(bytes.fromhex(key), seed=0).intdigest()
+        assert (h, shard, bucket) == (u - (1 << 64) if u >= 1 << 63 else u, abs(u - (1 << 64) if u >= 1 << 63 else u) % 8, u >> 52)
+    agreed = {r.key_hex: (r.h, r.shard, r.bucket) for r in catalogue.QUERIES["kv_hash_routing"](spark, sf).collect()}
+    assert agreed and all(got[k] == v for k, v in agreed.items()) and len(agreed) < len(got)
+
+
 def test_entry(spark, sf):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
