@@ -8,7 +8,8 @@ manifest says was processed (same columns). It is used at two grains:
   freezes its listing, writes its output under the batch's own identifier (a repeat
   overwrites it) and then publishes the manifest by one rename. A batch that failed at any
   point is repeated with the same identifier and the same frozen listing, so nothing is
-  skipped or taken twice. Readers see committed batches only.
+  skipped or taken twice. Readers see committed batches only, and of each file only what
+  its last committed version gave.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.session import cut
+from siltbed.session import cut, join_small
 from siltbed.sources import storage
 
+#: Column of a record's file in the input of a transform and in the output files.
+SOURCE_FILE = "source_file__"
+
 
 def fingerprint(content: Column) -> Column:
     """Checksum of a payload: the first 128 bits of its SHA-256, NULL for NULL."""
@@ -111,24 +115,37 @@ class IncrementalRun:
     listing), ``output/batch_id=<batch>``, ``manifest/batch_id=<batch>`` (committed). One
     writer at a time. A batch takes at most ``files_per_batch`` files; ``drain`` repeats
     until none is pending, so the bound defers files and never drops them.
+
+    A file that changed is transformed again as a whole, and its new output takes the place
+    of its old one. For that ``transform`` gets the rows with their file in the column
+    ``source_file__`` and must keep it (ValueError if it doesn't). The output of a file that
+    was deleted stays.
     """
 
     def __init__(self, spark: SparkSession, source: str, home: str, transform: Callable[[DataFrame], DataFrame], pattern: str = "*.parquet", files_per_batch: int = 50_000):
         self.spark, self.source, self.home, self.transform = spark, source, home.rstrip("/"), transform
         self.pattern, self.files_per_batch = pattern, files_per_batch
 
-    def manifest(self) -> DataFrame:
-        schema = "path string, size bigint, checksum string"
+    def _committed(self) -> DataFrame:
+        schema = "path string, size bigint, checksum string, batch_id bigint"
         if not storage.children(self.spark, f"{self.home}/manifest"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.home}/manifest").select("path", "size", "checksum")
+        return self.spark.read.schema(schema).parquet(f"{self.home}/manifest")
+
+    def manifest(self) -> DataFrame:
+        """(path, size, checksum) of each file as it was when it was last processed."""
+        newest = F.max_by(F.struct("size", "checksum"), "batch_id").alias("__newest")
+        return self._committed().groupBy("path").agg(newest).select("path", "__newest.*")
 
     def output(self) -> DataFrame:
-        """All committed output, with its ``batch_id``."""
+        """The committed output of the last version of every file, with its ``batch_id``."""
         batches = storage.children(self.spark, f"{self.home}/manifest")
         if not batches:
             raise FileNotFoundError("nothing is committed yet")
-        return self.spark.read.option("basePath", f"{self.home}/output").parquet(*[f"{self.home}/output/{b}" for b in batches])
+        rows = self.spark.read.option("basePath", f"{self.home}/output").parquet(*[f"{self.home}/output/{b}" for b in batches])
+        versions = self._committed().groupBy("path").agg(F.sort_array(F.collect_set("batch_id"), False).alias("v")).where(F.size("v") > 1)
+        replaced = versions.select(F.col("path").alias(SOURCE_FILE), F.explode(F.slice("v", F.lit(2), F.size("v"))).alias("batch_id"))
+        return join_small(rows, replaced, [SOURCE_FILE, "batch_id"], "left_anti").drop(SOURCE_FILE)
 
     def run(self, fail_after: str | None = None) -> str | None:
         """One batch; its identifier, or None if nothing is pending. ``fail_after`` is freeze or output."""
@@ -149,7 +166,12 @@ class IncrementalRun:
             raise StoppedOnPurpose(batch)
         frozen = spark.read.parquet(f"{self.home}/frozen/{batch}")
         paths = [r.path for r in frozen.select("path").toLocalIterator()]
-        self.transform(spark.read.parquet(*paths)).write.mode("overwrite").parquet(f"{self.home}/output/batch_id={batch}")
+        # The reader's paths are URIs with escapes, the listing's have none.
+        source_file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        made = self.transform(spark.read.parquet(*paths).withColumn(SOURCE_FILE, source_file))
+        if SOURCE_FILE not in made.columns:
+            raise ValueError(f"the transform must keep the column {SOURCE_FILE}")
+        made.write.mode("overwrite").parquet(f"{self.home}/output/batch_id={batch}")
         if fail_after == "output":
             raise StoppedOnPurpose(batch)
         staged = f"{self.home}/_staged/{batch}"
@@ -188,7 +210,6 @@ def unhandled_records(wal: DataFrame, checkpoints: DataFrame) -> DataFrame:
     has handled nothing.
     """
     from siltbed.functions.wal import whole
-    from siltbed.session import join_small
 
     complete = wal.select("db_name", "lsn", "log_size", "log_data", "received_at").where(whole(F.col("log_data"), F.col("log_size")))
     contents = record_contents(complete, ["db_name", "lsn"], "log_data", "received_at")
@@ -200,13 +221,36 @@ def unhandled_records(wal: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return pending(listing, seen, ["db_name", "lsn", "size", "checksum"])
 
 
-def incremental_table(spark: SparkSession, source: str, home: str) -> DataFrame:
-    """Load ``source`` through two failing runs and one good one; the committed rows, cut off from the files."""
-    job = IncrementalRun(spark, source, home, lambda rows: rows, files_per_batch=4)
+def incremental_table(spark: SparkSession, source: str, home: str, identity: str) -> DataFrame:
+    """Load ``source`` from a folder of files that changes between runs; the committed rows, cut off from the files.
+
+    At first a third of the rows is missing and one file is an older version, which lacks
+    half of its records and has some that are gone later (with other values of the integer
+    column ``identity``). Then the missing rows come in new files and the file becomes what
+    it is in ``source``. Both times two runs fail before the good ones.
+    """
+    rows, folder = spark.read.parquet(source), f"{home}/source"
+    share = lambda n: F.pmod(F.xxhash64(f"`{identity}`"), F.lit(n))
+    for third in (0, 1):
+        rows.where(share(3) == third).write.mode("append").parquet(folder)
+    changing = f"{folder}/{storage.children(spark, folder)[0]}"
+    half = spark.read.parquet(changing).where(share(6) < 3)
+    half.unionByName(half.withColumn(identity, -F.col(f"`{identity}`") - 1)).coalesce(1).write.parquet(f"{home}/older")
+    storage.publish(spark, changing, f"{home}/newer")
+    storage.publish(spark, f"{home}/older/{storage.children(spark, f'{home}/older')[0]}", changing)
+    job = IncrementalRun(spark, folder, f"{home}/run", lambda r: r, files_per_batch=4)
+    _load(job)
+    storage.delete(spark, changing)
+    storage.publish(spark, f"{home}/newer", changing)
+    rows.where(share(3) == 2).write.mode("append").parquet(folder)
+    _load(job)
+    return cut(job.output().drop("batch_id"))
+
+
+def _load(job: IncrementalRun) -> None:
     for point in ("freeze", "output"):
         try:
             job.run(fail_after=point)
         except StoppedOnPurpose:
             pass
     job.drain()
-    return cut(job.output().drop("batch_id"))

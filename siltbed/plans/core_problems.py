@@ -19,7 +19,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_batches(spark: SparkSession, sf: str) -> DataFrame:
-    loaded = incremental.incremental_table(spark, f"{sf}/wal_log.parquet", scratch(spark, "p2-batches"))
+    loaded = incremental.incremental_table(spark, f"{sf}/wal_log.parquet", scratch(spark, "p2-batches"), "delivery_id")
     return loaded.groupBy("db_name").agg(F.count(F.lit(1)).alias("deliveries"), F.sum("delivery_id").alias("id_sum"), F.sum(F.octet_length("log_data")).alias("bytes"))
 
 

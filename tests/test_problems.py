@@ -93,6 +93,34 @@ def test_incremental_run_survives_failures(spark, tmp_path):
         incremental.IncrementalRun(spark, f"file://{source}", f"{home}-none", lambda d: d).output()
 
 
+def test_a_changed_file_replaces_its_output(spark, tmp_path):
+    source, home = tmp_path / "a+c", f"file://{tmp_path}/home"
+    source.mkdir()
+
+    def put_file(name, ids):
+        spark.createDataFrame([(i,) for i in ids], "id bigint").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "made"))
+        made = next(p for p in (tmp_path / "made").iterdir() if p.name.endswith(".parquet"))
+        (source / name).write_bytes(made.read_bytes())
+
+    job = incremental.IncrementalRun(spark, f"file://{source}", home, lambda d: d, files_per_batch=2)
+    ids = lambda: sorted(r.id for r in job.output().collect())
+    for name, content in (("grows.parquet", [1, 2]), ("rewritten.parquet", [3, 4]), ("stays.parquet", [5, 5])):
+        put_file(name, content)
+    assert len(job.drain()) == 2 and ids() == [1, 2, 3, 4, 5, 5]
+    put_file("grows.parquet", [1, 2, 6])
+    put_file("rewritten.parquet", [7])
+    with pytest.raises(incremental.StoppedOnPurpose):
+        job.run(fail_after="output")
+    assert ids() == [1, 2, 3, 4, 5, 5]
+    assert len(job.drain()) == 1 and ids() == [1, 2, 5, 5, 6, 7]
+    # Back to what it was once: that counts as changed too.
+    put_file("rewritten.parquet", [3, 4])
+    assert len(job.drain()) == 1 and ids() == [1, 2, 3, 4, 5, 5, 6]
+    assert job.drain() == [] and job.output().columns == ["id", "batch_id"]
+    with pytest.raises(ValueError, match="source_file__"):
+        incremental.IncrementalRun(spark, f"file://{source}", f"{home}-other", lambda d: d.select("id")).run()
+
+
 # p3
 
 
