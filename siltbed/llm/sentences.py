@@ -197,11 +197,11 @@ def sentences_marked(paragraph: Column) -> Column:
         (_INNER_STOP, DOT),
         (_INNER_ASK, ASK),
         (_abbreviations(), f"$1{DOT}"),
-        (rf'"([^"]{{1,2000}}+)"', f"{OPEN}$1{SHUT}"),
-        (rf"(„[^„“”]{{1,2000}}+)“", f"$1{LOW_SHUT}"),
-        (rf"»(?<=(?:\A|[\s(])»)(?=\S)([^»«]{{1,500}}+)(?<=\S)«", f"{BACK_OPEN}$1{BACK_SHUT}"),
-        # From an opening mark on, each ending that has a closing mark ahead.
-        (rf"(?:[{opening}]|\G(?!\A))[^{marks}{ending}]*+[{ending}](?=[^{marks}]{{0,2000}}+{shut})", f"$0{TAG}"),
+        (r'"([^"]++)"', f"{OPEN}$1{SHUT}"),
+        (r"(„[^„“”]++)“", f"$1{LOW_SHUT}"),
+        (r"»(?<=(?:\A|[\s(])»)(?=\S)([^»«]++)(?<=\S)«", f"{BACK_OPEN}$1{BACK_SHUT}"),
+        # Each ending from an opening mark to the next mark, if that is a closing one.
+        (rf"(?:[{opening}](?=[^{marks}]*+{shut})|\G(?!\A))[^{marks}{ending}]*+[{ending}]", f"$0{TAG}"),
     ]
     text = paragraph
     for pattern, by in steps:

@@ -84,6 +84,12 @@ def test_structure(spark):
         assert got == want, text
 
 
+@pytest.mark.parametrize("marks", ['""', "„“", "»«", "“”", "«»"])
+def test_quotations_of_any_length(spark, marks):
+    told = [f"He wrote: {marks[0]}{'Roll it back first. ' * 3_000}Ask later{marks[1]} and left.", f"She wrote: {marks[0]}Stop it. Now{marks[1]} and left.", "Yes."]
+    assert units(spark, [HEAD + "\n" + " ".join(told)]) == [told]
+
+
 def test_own_characters_in_a_text_keep_the_places(spark):
     text = next(t for t, w in STRUCTURE if w is None)
     got = sentences.sentence_units(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).orderBy("start_at").collect()
