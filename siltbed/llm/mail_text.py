@@ -42,7 +42,6 @@ _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️
 _WORD = re.compile(r"[^\W_]+")
 
 _TEXT_LIKE = ("text/", "message/")
-MAX_DEPTH = 8
 
 
 def _charset(params: str) -> str:
@@ -79,40 +78,47 @@ def from_html(text: str) -> str:
     return html.unescape(_TAG.sub("\n", text))
 
 
-def texts(mail: str, depth: int = 0) -> list[str]:
-    """The decoded texts of a mail: its header, and every part that may hold text."""
-    cut = _BLANK_LINE.search(mail)
-    head, body = (mail[: cut.start()], mail[cut.end() :]) if cut else (mail, "")
-    if mail.startswith(("\n", "\r\n")):
-        head, body = "", mail.lstrip("\r\n")
-    head = _FOLD.sub(" ", head)
-    kind = _TYPE.search(head)
-    media, params = (kind[1].lower(), kind[2]) if kind else ("", "")
-    encoding = found[1].lower() if (found := _ENCODING.search(head)) else ""
-    out = []
-    if not depth:
+def texts(mail: str) -> list[str]:
+    """The decoded texts of a mail: its header, and every part that may hold text, with the part's header.
+
+    A part whose first block doesn't say what it is may well have no header, so all of it is
+    one text. Parts may be nested to any depth.
+    """
+    out, waiting, inner = [], [mail], False
+    while waiting:
+        part = waiting.pop()
+        cut = _BLANK_LINE.search(part)
+        head, body = (part[: cut.start()], part[cut.end() :]) if cut else (part, "")
+        if part.startswith(("\n", "\r\n")):
+            head, body = "", part.lstrip("\r\n")
+        head = _FOLD.sub(" ", head)
+        kind = _TYPE.search(head)
+        media, params = (kind[1].lower(), kind[2]) if kind else ("", "")
+        encoding = found[1].lower() if (found := _ENCODING.search(head)) else ""
         shown = _ENCODED_WORD.sub(_encoded_word, _ENCODED_GAP.sub(r"\1\2", head)) if "=?" in head else head
-        out.append(shown)
-        if not cut:
-            return out
-    boundary = (found[1] or found[2] or "").rstrip() if (found := _BOUNDARY.search(params)) else ""
-    if media.startswith("multipart/") and boundary and depth < MAX_DEPTH:
-        pieces = re.split(r"(?:^|\r?\n)--" + re.escape(boundary) + r"(?:--)?[ \t]*(?=\r?\n|$)", body)
-        out.append(pieces[0])
-        for piece in pieces[1:]:
-            piece = piece[2:] if piece.startswith("\r\n") else piece[1:]
-            out += texts(piece, depth + 1)
-        return out
-    if media.startswith("message/") and depth < MAX_DEPTH:
-        return out + texts(body, depth + 1)
-    if media and not media.startswith(_TEXT_LIKE) and not media.startswith("multipart/"):
-        return out
-    text = _decode(body, encoding, _charset(params))
-    if media == "text/html":
-        return [*out, from_html(text)]
-    if "<" in text and _LOOKS_HTML.search(text):
-        out.append(from_html(text))
-    return [*out, text]
+        if inner and head and not media and not encoding:
+            body = f"{shown}\n\n{body}"
+        elif head or not inner:
+            out.append(shown)
+        inner = True
+        if not body:
+            continue
+        boundary = (found[1] or found[2] or "").rstrip() if (found := _BOUNDARY.search(params)) else ""
+        if media.startswith("multipart/") and boundary:
+            pieces = re.split(r"(?:^|\r?\n)--" + re.escape(boundary) + r"(?:--)?[ \t]*(?=\r?\n|$)", body)
+            out.append(pieces[0])
+            waiting += [piece[2:] if piece.startswith("\r\n") else piece[1:] for piece in reversed(pieces[1:])]
+        elif media.startswith("message/"):
+            waiting.append(body)
+        elif not media or media.startswith(_TEXT_LIKE) or media.startswith("multipart/"):
+            text = _decode(body, encoding, _charset(params))
+            if media == "text/html":
+                out.append(from_html(text))
+                continue
+            if "<" in text and _LOOKS_HTML.search(text):
+                out.append(from_html(text))
+            out.append(text)
+    return out
 
 
 def words(text: str) -> list[str]:

@@ -91,6 +91,34 @@ def test_mails(spark):
     assert plain.count() == 0
 
 
+def nested(depth, inner):
+    for n in range(depth):
+        inner = f"Content-Type: multipart/mixed; boundary=n{n}x\n\n--n{n}x\n{inner}\n--n{n}x--\n"
+    return inner
+
+
+MIXED = "Content-Type: multipart/mixed; boundary=o\n\n--o\n"
+FIRST, REST = PART[:40].rsplit(" ", 1)[0], PART[len(PART[:40].rsplit(" ", 1)[0]) + 1 :]
+ANY_PLACE = {
+    "part without header": MIXED + PART + "\n--o--\n",
+    "first paragraph of such a part": MIXED + PART + "\n\nmore\n--o--\n",
+    "over its first two paragraphs": MIXED + FIRST + "\n\n" + REST + "\n--o--\n",
+    "behind the closing boundary": MIXED + "\nx\n--o--\n" + PART,
+    "header of an attached mail": MIXED + "Content-Type: message/rfc822\n\nSubject: =?utf-8?B?" + base64.b64encode(PART.encode()).decode() + "?=\nContent-Type: text/plain\n\nx\n--o--\n",
+    "nested 9 times": nested(9, "Content-Type: text/plain\nContent-Transfer-Encoding: base64\n\n" + b64(PART)),
+    "nested 2000 times": nested(2_000, "Content-Type: text/plain\nContent-Transfer-Encoding: quoted-printable\n\n" + qp(PART)),
+    "attached 2000 times": "Content-Type: message/rfc822\n\n" * 2_000 + "Content-Type: text/plain\nContent-Transfer-Encoding: base64\n\n" + b64(PART),
+    "mail that begins with a line end": "\n" + PART,
+}
+
+
+@pytest.mark.parametrize("place", ANY_PLACE)
+def test_every_text_of_a_mail_is_searched(place):
+    want = " ".join(mail_text.words(PART))
+    for mail in (ANY_PLACE[place], ANY_PLACE[place].replace("\n", "\r\n")):
+        assert any(want in " ".join(mail_text.words(t)) for t in mail_text.texts(mail))
+
+
 def test_words():
     assert mail_text.words("Ab-c_d 12,5 \ufb01x\u00ad\u200dy STRASSE") == ["ab", "c", "d", "12", "5", "fixy", "strasse"]
     assert mail_text.words("Straße") == ["strasse"] and mail_text.words("") == []
