@@ -77,11 +77,11 @@ def restart_points(rows: DataFrame, row_in_block: Column) -> DataFrame:
     return rows.where((row_in_block % RESTART_EVERY == 0) & (row_in_block < RESTART_EVERY * RESTARTS_MAX)).withColumn("restart_no", F.floor(row_in_block / RESTART_EVERY))
 
 
-def key_ranges(rows: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Smallest and largest key and number of rows of every file or block."""
+def key_ranges(rows: DataFrame, by: list[str], key: str, more: list[Column] | None = None) -> DataFrame:
+    """Smallest and largest key and number of rows of every file or block, and ``more`` aggregates."""
     order = shortlex(F.col(f"`{key}`"))
-    out = rows.groupBy(*by).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"), F.count(F.lit(1)).alias("records"))
-    return out.select(*by, F.col("__lo.k").alias("min_key"), F.col("__hi.k").alias("max_key"), "records")
+    out = rows.groupBy(*by).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"), F.count(F.lit(1)).alias("records"), *(more or []))
+    return out.select(F.col("__lo.k").alias("min_key"), F.col("__hi.k").alias("max_key"), *[F.col(f"`{c}`") for c in out.columns if c not in {"__lo", "__hi"}])
 
 
 def contiguous(ranges: DataFrame, low: str, high: str) -> DataFrame:

@@ -54,16 +54,20 @@ def needs_compaction(files: DataFrame, level: int = 0, limit: int = LEVEL0_FILES
     return files.where(F.col("level") == level).agg(F.count(F.lit(1)).alias("files")).withColumn("needed", F.col("files") > limit)
 
 
-def write_run(rows: DataFrame, key: str, path: str, files: int | None = None) -> DataFrame:
+def write_run(rows: DataFrame, key: str, path: str, files: int | None = None, bloom: bool = False) -> DataFrame:
     """Write ``rows`` as one sorted run: disjoint ranges of keys, each file sorted. Returns it as read back.
 
     The key's length is stored first, so that the statistics of the files follow the key
-    order and a filter on (length, key) skips row groups.
+    order and a filter on (length, key) skips row groups. With ``bloom`` every row group
+    also has a Bloom filter on the key, which point lookups ask first.
     """
     order = shortlex_sort(F.col(f"`{key}`"))
     ranged = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
     staged = f"{path}.staged"
-    ranged.sortWithinPartitions(*order).select(F.octet_length(f"`{key}`").alias("key_bytes"), "*").write.mode("overwrite").parquet(staged)
+    writer = ranged.sortWithinPartitions(*order).select(F.octet_length(f"`{key}`").alias("key_bytes"), "*").write.mode("overwrite")
+    if bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    writer.parquet(staged)
     if not storage.publish(rows.sparkSession, staged, path):
         storage.delete(rows.sparkSession, staged)
         raise FileExistsError(path)

@@ -15,7 +15,7 @@ QUERY_TARGET_BYTES = 262_144
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     t = tables(spark, sf)
-    return incremental.unhandled_records(t("wal_log"), t("checkpoints")).select("db_name", "lsn")
+    return incremental.unhandled_records(t("wal_log"), t("checkpoints"), scratch(spark, "p2-found")).select("db_name", "lsn")
 
 
 def p2_batches(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,7 +24,7 @@ def p2_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    live = changefeed.live_keys(tables(spark, sf)("wal_log"), with_value=False)
+    live = changefeed.live_keys(tables(spark, sf)("wal_log"))
     return live.select("db_name", F.hex("key").alias("key_hex"), "lsn")
 
 
@@ -35,7 +35,7 @@ def p3_state(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     t = tables(spark, sf)
-    return consolidate.consolidation_plan(t("file_infos"), t("slices"), target=QUERY_TARGET_BYTES).select("file_id")
+    return consolidate.consolidated_files(t("slices"), t("file_infos"), scratch(spark, "p5-found"), "v1", target=QUERY_TARGET_BYTES).select("file_id")
 
 
 def p5_layout(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -15,6 +17,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names of the visible entries of a folder, sorted; none if it doesn't exist."""
     fs, p = _fs(spark, path)
@@ -42,10 +49,14 @@ def publish(spark: SparkSession, staged: str, final: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file whole: beside it first, then renamed over it."""
+    """Write a small file whole: beside it first, then renamed over it in one step where the file system can.
+
+    Where it can't, the old file goes before the new one comes, so a reader may find neither:
+    state that must not be lost belongs in numbered files that are never overwritten.
+    """
     fs, p = _fs(spark, path)
     fs.mkdirs(p.getParent())
-    staged = spark._jvm.org.apache.hadoop.fs.Path(path + ".staged")
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.staged")
     out = fs.create(staged, True)
     try:
         out.write(bytearray(text.encode()))
@@ -54,7 +65,20 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     if fs.exists(p):
         fs.delete(p, False)
     if not fs.rename(staged, p):
-        raise OSError(f"can't rename {path}.staged")
+        raise OSError(f"can't rename {staged} to {path}")
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that isn't there yet, whole or not at all; False if it is there already."""
+    staged = f"{path}.{uuid.uuid4().hex}.staged"
+    fs, p = _fs(spark, staged)
+    fs.mkdirs(p.getParent())
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return publish(spark, staged, path)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

@@ -3,40 +3,103 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections import OrderedDict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.functions.status import InvalidKey, InvalidPath, NotFound
-from siltbed.operators import cursor, log, merge
+from siltbed.operators import cursor, layout, log, merge
 from siltbed.sources import storage
 
 ORDER = ["version", "seq"]
 SCHEMA = "key binary, value binary, version bigint, seq bigint, deleted boolean"
 
 
-class KvTable:
-    """put, delete, get, scan, seek, flush and compact over runs in ``home`` (one writer).
+class ConcurrentWrite(RuntimeError):
+    """Another writer has committed meanwhile; open the table anew."""
+
+
+class RunCache:
+    """The files used last, persisted by Spark; the one used longest ago goes when there are more than ``capacity``."""
+
+    def __init__(self, spark: SparkSession, capacity: int = 1024):
+        self.spark, self.capacity, self.hits, self.misses = spark, capacity, 0, 0
+        self.held: OrderedDict[str, DataFrame] = OrderedDict()
+
+    def read(self, path: str) -> DataFrame:
+        if path in self.held:
+            self.hits += 1
+            self.held.move_to_end(path)
+        else:
+            self.misses += 1
+            self.held[path] = self.spark.read.parquet(path).persist()
+            if len(self.held) > self.capacity:
+                self.held.popitem(last=False)[1].unpersist()
+        return self.held[path]
+
+    def clear(self) -> None:
+        while self.held:
+            self.held.popitem()[1].unpersist()
 
-    A manifest file names the live runs and their levels; it is replaced whole after the
-    runs it names are written, so a failed write leaves the old state. The winner of a key
-    is its write of the highest (version, seq); ``seq`` is the number of the call that
-    wrote it, and ``version`` is that too where the caller gives none. Writes of one key,
-    version and call are decided by the larger value.
+
+class KvTable:
+    """put, delete, get, scan, seek, flush and compact over files in ``home`` (one writer).
+
+    The files of level 0 are what single calls wrote; those of a higher level have disjoint
+    ranges of keys. A manifest names the live files with their level, range of keys, number
+    of rows and highest version. Manifests are numbered and never overwritten: a new one is
+    published by one rename after the files it names are written, under names that no other
+    call uses, and the highest one counts. A call that stops anywhere leaves the old state
+    and doesn't hinder the next one. The winner of a key is its write of the highest
+    (version, seq); ``seq`` is the number of the call that wrote it, and ``version`` is that
+    too where the caller gives none. Writes of one key, version and call are decided by the
+    larger value.
+
+    A lookup opens only the files whose range can hold the key, and of these only the row
+    groups that their Bloom filters don't rule out. When level 0 has more than
+    ``level0_files`` files, a write merges them into level 1, in files of about
+    ``file_rows`` rows.
     """
 
-    def __init__(self, spark: SparkSession, home: str, create: bool = True):
-        self.spark, self.home = spark, home.rstrip("/")
-        text = storage.read_text(spark, f"{self.home}/manifest.json")
-        if text is None and not create:
+    def __init__(self, spark: SparkSession, home: str, create: bool = True, level0_files: int | None = merge.LEVEL0_FILES, cache: RunCache | None = None, file_rows: int = 10_000_000):
+        self.spark, self.home, self.level0_files, self.cache, self.file_rows = spark, home.rstrip("/"), level0_files, cache, file_rows
+        numbers = self._manifests()
+        if not numbers and not create:
             raise InvalidPath(home)
-        self.state = json.loads(text) if text else {"seq": 0, "runs": [], "checkpoint": [0, 0, 0]}
+        self.number = numbers[-1] if numbers else 0
+        self.state = json.loads(storage.read_text(spark, self._manifest(self.number))) if numbers else {"seq": 0, "files": [], "checkpoint": [0, 0, 0], "counters": {}}
+
+    def _manifest(self, number: int) -> str:
+        return f"{self.home}/manifest/{number:012d}.json"
 
-    def _commit(self, runs: list[dict], seq: int, checkpoint: int | None = None) -> None:
+    def _manifests(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in storage.children(self.spark, f"{self.home}/manifest") if n.endswith(".json"))
+
+    def _commit(self, files: list[dict], seq: int, checkpoint: int | None, **counted: int) -> None:
         triple = self.state["checkpoint"] if checkpoint is None else [self.checkpoint, checkpoint, checkpoint]
-        state = {"seq": seq, "runs": runs, "checkpoint": triple}
-        storage.write_text(self.spark, f"{self.home}/manifest.json", json.dumps(state))
-        self.state = state
+        counters = {k: self.state["counters"].get(k, 0) + counted.get(k, 0) for k in {*self.state["counters"], *counted}}
+        state = {"seq": seq, "files": files, "checkpoint": triple, "counters": counters}
+        if not storage.publish_text(self.spark, self._manifest(self.number + 1), json.dumps(state)):
+            raise ConcurrentWrite(self.home)
+        self.number, self.state = self.number + 1, state
+
+    @property
+    def counters(self) -> dict[str, int]:
+        """What this table has done: rows put and deleted, calls that wrote, flushes, compactions, rows they merged."""
+        return dict(self.state["counters"])
+
+    @property
+    def key_version(self) -> int:
+        """The highest version of a stored write."""
+        return max((f["version"] for f in self.state["files"]), default=0)
+
+    @property
+    def record_count(self) -> int:
+        """How many writes are stored, deletes and older ones included."""
+        return sum(f["rows"] for f in self.state["files"])
 
     @property
     def checkpoint(self) -> int:
@@ -65,8 +128,21 @@ class KvTable:
             raise InvalidKey(f"a key must have 1 to 64 bytes: {bad.first()['key']!r}")
         seq = self.state["seq"] + 1
         run = log.latest(rows.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("version", F.coalesce("version", "seq")).select(*SCHEMA_COLUMNS), "key", ["version", "seq"])
-        merge.write_run(run, "key", f"{self.home}/runs/{seq}")
-        self._commit([*self.state["runs"], {"path": f"runs/{seq}", "level": 0}], seq, checkpoint)
+        files = self._store(run, seq, 0)
+        gone = sum(f.pop("deleted") for f in files)
+        put = sum(f["rows"] for f in files) - gone
+        self._commit([*self.state["files"], *files], seq, checkpoint, writes=1, rows_put=put, rows_deleted=gone)
+        if self.level0_files is not None and self.needs_flush():
+            self.flush()
+
+    def _store(self, rows: DataFrame, seq: int, level: int, files: int | None = None) -> list[dict]:
+        """Write sorted files with Bloom filters on the key; what the manifest says of them."""
+        folder = f"runs/{seq}-{uuid.uuid4().hex}"
+        written = merge.write_run(rows, "key", f"{self.home}/{folder}", files, bloom=True)
+        facts = layout.key_ranges(written.withColumn("path", F.element_at(F.split("_metadata.file_path", "/"), -1)), ["path"], "key", [F.max("version").alias("version"), F.sum(F.col("deleted").cast("bigint")).alias("deleted")])
+        return [
+            {"path": f"{folder}/{r.path}", "level": level, "lo": bytes(r.min_key).hex(), "hi": bytes(r.max_key).hex(), "rows": r.records, "version": r.version, "deleted": r.deleted} for r in facts.orderBy("path").toLocalIterator()
+        ]
 
     def put(self, rows: DataFrame) -> None:
         """Store (key, value[, version]) rows; other columns are ignored. Raises InvalidKey."""
@@ -78,22 +154,37 @@ class KvTable:
         version = F.col("version").cast("bigint") if "version" in keys.columns else F.lit(None).cast("bigint")
         self._write(keys.select(F.col("key").cast("binary").alias("key"), F.lit(None).cast("binary").alias("value"), version.alias("version"), F.lit(True).alias("deleted")))
 
-    def _runs(self) -> list[DataFrame]:
-        return [self.spark.read.parquet(f"{self.home}/{r['path']}") for r in self.state["runs"]]
+    def _read(self, files: list[dict]) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], "key_bytes int, " + SCHEMA)
+        paths = [f"{self.home}/{f['path']}" for f in files]
+        return self.spark.read.parquet(*paths) if self.cache is None else reduce(DataFrame.unionByName, map(self.cache.read, paths))
 
     def writes(self) -> DataFrame:
         """All stored writes, with the bytes of their key in ``key_bytes``."""
-        if not self.state["runs"]:
-            return self.spark.createDataFrame([], "key_bytes int, " + SCHEMA)
-        return self.spark.read.parquet(*[f"{self.home}/{r['path']}" for r in self.state["runs"]])
+        return self._read(self.state["files"])
+
+    def files(self) -> DataFrame:
+        """(path, level, min_key, max_key, rows, version) of the live files."""
+        listed = [(f["path"], f["level"], bytes.fromhex(f["lo"]), bytes.fromhex(f["hi"]), f["rows"], f["version"]) for f in self.state["files"]]
+        return self.spark.createDataFrame(listed, "path string, level int, min_key binary, max_key binary, rows bigint, version bigint")
+
+    def files_for(self, key: bytes) -> list[str]:
+        """The files whose range of keys can hold this one."""
+        return [f["path"] for f in self._holding(key)]
+
+    def _holding(self, key: bytes) -> list[dict]:
+        at = (len(key), key)
+        order = lambda text: (len(text) // 2, bytes.fromhex(text))
+        return [f for f in self.state["files"] if order(f["lo"]) <= at <= order(f["hi"])]
 
     def rows(self) -> DataFrame:
         """The live rows: key, value, version, seq."""
         return log.latest(self.writes().select(*SCHEMA_COLUMNS), "key", ORDER, "deleted").drop("deleted")
 
     def get(self, key: bytes) -> DataFrame:
-        """0 or 1 row; the filter reaches the files."""
-        mine = self.writes().where((F.col("key_bytes") == len(key)) & (F.col("key") == F.lit(key)))
+        """0 or 1 row; only files that can hold the key are opened, and the filter reaches them."""
+        mine = self._read(self._holding(key)).where((F.col("key_bytes") == len(key)) & (F.col("key") == F.lit(key)))
         return log.latest(mine.select(*SCHEMA_COLUMNS), "key", ORDER, "deleted").drop("deleted")
 
     def value(self, key: bytes) -> bytes:
@@ -127,31 +218,49 @@ class KvTable:
         return self.rows().count()
 
     def flush(self) -> None:
-        """Merge all level-0 runs into one run of level 1; what is visible doesn't change."""
-        self._merge([r for r in self.state["runs"] if r["level"] == 0], 1, bottom=False)
+        """Merge level 0 into level 1; what is visible doesn't change."""
+        self.compact(0)
 
-    def compact(self) -> None:
-        """Merge everything into one bottom run, without deletes and older writes."""
-        self._merge(self.state["runs"], 2, bottom=True)
+    def compact(self, level: int | None = None) -> None:
+        """Merge the files of ``level`` and those of the next one that overlap them into new files of the next level.
 
-    def _merge(self, picked: list[dict], level: int, bottom: bool) -> None:
+        Files that don't overlap stay as they are. Deletes and older writes go when no
+        deeper level is left; older writes always go among the files merged. Without
+        ``level`` everything is merged into level 2. What is visible doesn't change.
+        """
+        if level is None:
+            picked, target = self.state["files"], 2
+        else:
+            chosen = {r.path for r in merge.pick_overlapping(self.files(), level, level + 1).select("path").toLocalIterator()}
+            picked, target = [f for f in self.state["files"] if f["path"] in chosen], level + 1
         if not picked:
             return
+        kept = [f for f in self.state["files"] if f not in picked]
+        bottom = not any(f["level"] >= target or f["level"] == 0 for f in kept)
         seq = self.state["seq"] + 1
-        parts = [self.spark.read.parquet(f"{self.home}/{r['path']}").select(*SCHEMA_COLUMNS) for r in picked]
-        merge.write_run(merge.compact(parts, "key", ORDER, "deleted", bottom), "key", f"{self.home}/runs/{seq}")
-        gone = {r["path"] for r in picked}
-        self._commit([*[r for r in self.state["runs"] if r["path"] not in gone], {"path": f"runs/{seq}", "level": level}], seq)
+        merged = log.latest(self.spark.read.parquet(*[f"{self.home}/{f['path']}" for f in picked]).select(*SCHEMA_COLUMNS), "key", ORDER, "deleted" if bottom else None)
+        files = self._store(merged, seq, target, -(-sum(f["rows"] for f in picked) // self.file_rows))
+        for f in files:
+            f.pop("deleted")
+        counted = {"flushes": 1} if level == 0 else {"compactions": 1}
+        self._commit([*kept, *files], seq, None, **counted, rows_merged=sum(f["rows"] for f in picked))
+
+    def clear(self) -> None:
+        """Forget every key; the files stay until ``vacuum``."""
+        self._commit([], self.state["seq"] + 1, None)
 
     def needs_flush(self) -> bool:
-        return sum(r["level"] == 0 for r in self.state["runs"]) > merge.LEVEL0_FILES
+        return sum(f["level"] == 0 for f in self.state["files"]) > (merge.LEVEL0_FILES if self.level0_files is None else self.level0_files)
 
     def vacuum(self) -> list[str]:
-        """Remove runs that the manifest doesn't name; their numbers."""
-        named = {r["path"] for r in self.state["runs"]}
-        gone = [n for n in storage.children(self.spark, f"{self.home}/runs") if f"runs/{n}" not in named]
+        """Remove the runs of which the manifest names no file, and all older manifests; the runs' names."""
+        named = {f["path"].split("/")[1] for f in self.state["files"]}
+        gone = [n for n in storage.children(self.spark, f"{self.home}/runs") if n not in named]
         for n in gone:
             storage.delete(self.spark, f"{self.home}/runs/{n}")
+        for number in self._manifests():
+            if number < self.number:
+                storage.delete(self.spark, self._manifest(number))
         return gone
 
 
