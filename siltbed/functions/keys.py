@@ -74,7 +74,24 @@ def sub_bucket(h: Column, level: Column | int, bits: int = RING_BITS) -> Column:
     """The ``level`` bits of the hash below the ring bits."""
     level = F.lit(level) if isinstance(level, int) else level
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - F.lit(1)
-    return F.call_function("shiftrightunsigned", h, F.lit(64 - bits) - level).bitwiseAND(mask).cast("int")
+    return F.call_function("shiftrightunsigned", h, F.lit(64 - bits) - level).bitwiseAND(mask)
+
+
+def hash_parts(h: Column) -> Column:
+    """(h1, h2): the upper 57 bits of the hash, which choose where to look, and the lower 7, which mark a slot."""
+    return F.struct(F.shiftrightunsigned(h, 7).alias("h1"), h.bitwiseAND(F.lit(127)).cast("int").alias("h2"))
+
+
+def fast_mod(x: Column, n: int) -> Column:
+    """A number below ``n`` from the low 32 bits of ``x``: multiplied by ``n``, the upper half taken."""
+    low = x.bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftrightunsigned(low * F.lit(n), 32).cast("int")
+
+
+def key_text(key: Column) -> Column:
+    """A key as text; no key and the key beyond all others have names of their own."""
+    n = F.octet_length(key)
+    return F.when(key.isNull() | (n == 0), "MIN_BYTE").when(n > MAX_KEY_BYTES, "MAX_BYTE").otherwise(key.cast("binary").cast("string"))
 
 
 def true_key(stored: Column, length: Column, buffer_bytes: int = MAX_KEY_BYTES) -> Column:

@@ -23,7 +23,12 @@ def record_size(key: Column, value: Column) -> Column:
 
 
 def cache_key(file_id: Column, block_id: Column) -> Column:
-    """The decimal text of file << 32 | block."""
+    """The decimal text of file << 32 | block; NULL if either is negative or doesn't fit its half."""
+    fits = file_id.between(0, (1 << 31) - 1) & block_id.between(0, (1 << 32) - 1)
+    return F.when(fits, _cache_key(file_id, block_id))
+
+
+def _cache_key(file_id: Column, block_id: Column) -> Column:
     return F.shiftleft(file_id.cast("bigint"), 32).bitwiseOR(block_id.cast("bigint")).cast("string")
 
 
@@ -60,6 +65,34 @@ def encode_record(key: Column, value: Column, version: Column, file_id: Column,
     return F.concat(*[_little(c, n) for c, n in head], key.cast("binary"), F.coalesce(value.cast("binary"), F.unhex(F.lit(""))))
 
 
+def _number(digits: Column, at: int, size: int) -> Column:
+    """The little-endian number in ``size`` bytes from byte ``at`` (from 0) of hexadecimal text."""
+    byte = lambda i: F.substr(digits, F.lit(2 * (at + i) + 1), F.lit(2))
+    part = lambda first, n: F.conv(F.concat(*[byte(first + i) for i in reversed(range(n))]), 16, 10).cast("bigint")
+    return part(0, size) if size < 8 else F.shiftleft(part(4, 4), 32).bitwiseOR(part(0, 4))
+
+
+def decode_columns(data: Column) -> Column:
+    """What ``encode_record`` wrote, as a struct of version, file_id, block_id, block_type, offset, key_hash, key and value.
+
+    NULL for NULL and where the lengths in the head don't fit the data.
+    """
+    digits, n = F.hex(F.substr(data, F.lit(1), F.lit(_HEAD.size))), F.octet_length(data)
+    key_length = _number(digits, 33, 4)
+    fits = (n >= _HEAD.size) & (_number(digits, 0, 4) == n) & (key_length <= n - _HEAD.size)
+    fields = F.struct(
+        _number(digits, 4, 8).alias("version"),
+        _number(digits, 12, 8).alias("file_id"),
+        _number(digits, 20, 4).alias("block_id"),
+        _number(digits, 24, 1).cast("int").alias("block_type"),
+        _number(digits, 25, 8).alias("offset"),
+        _number(digits, 37, 8).alias("key_hash"),
+        F.substr(data, F.lit(_HEAD.size + 1), key_length.cast("int")).alias("key"),
+        F.substr(data, key_length.cast("int") + (_HEAD.size + 1), n).alias("value"),
+    )
+    return F.when(fits, fields)
+
+
 def decode_record(data: bytes) -> dict:
     """What ``encode_record`` wrote; raises ValueError if the lengths don't fit the data."""
     if len(data) < _HEAD.size:

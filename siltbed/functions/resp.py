@@ -66,7 +66,10 @@ def parse(data: bytes) -> tuple[list[bytes] | None, str | None]:
 
 
 def parse_stream(data: bytes) -> tuple[list[bytes], bytes]:
-    """The whole requests at the beginning of ``data``, as bytes, and what is left (a request not yet complete, or broken)."""
+    """The whole requests at the beginning of ``data``, as bytes, and what is left (a request not yet complete, or broken).
+
+    A request with an argument that is too long is whole too: it is skipped by the length it states.
+    """
     out, at = [], 0
     while at < len(data):
         end = _request_end(data, at)
@@ -84,7 +87,7 @@ def _request_end(data: bytes, at: int) -> int | None:
     at = head.end()
     for _ in range(int(head[2])):
         size = _LINE.match(data, at)
-        if size is None or size[1] != b"$" or int(size[2]) >= MAX_ARGUMENT_BYTES:
+        if size is None or size[1] != b"$":
             return None
         at = size.end() + int(size[2]) + 2
         if at > len(data) or data[at - 2 : at] != b"\r\n":

@@ -153,3 +153,21 @@ def live_keys(wal: DataFrame, with_value: bool = True) -> DataFrame:
     changes = wal_changes(wal, with_value)
     op = F.when(F.col("kind") == "put", INSERT).otherwise(DELETE)
     return replay(changes, ["db_name", "key"], "lsn", op, ["value"] if with_value else []).where("live").drop("live")
+
+
+#: Values of this many bytes and more are long ones.
+LONG_BYTES = 32
+
+
+def partial_state(wal: DataFrame) -> DataFrame:
+    """(db_name, key, lsn, value, short_lsn, long_lsn) of the live keys, every Put taken for a partial update.
+
+    A Put sets the value, and where it was last written short or long, only as far as it
+    carries them: an empty value leaves the one before untouched, and a short value leaves
+    the place of the last long one. A Delete ends all of them.
+    """
+    changes = wal_changes(wal)
+    n = F.octet_length("value")
+    said = changes.select("db_name", "lsn", "kind", "key", F.when(n > 0, F.col("value")).alias("value"), F.when((n > 0) & (n < LONG_BYTES), F.col("lsn")).alias("short_lsn"), F.when(n >= LONG_BYTES, F.col("lsn")).alias("long_lsn"))
+    op = F.when(F.col("kind") == "put", UPDATE).otherwise(DELETE)
+    return replay(said, ["db_name", "key"], "lsn", op, ["value", "short_lsn", "long_lsn"]).where("live").drop("live")

@@ -95,13 +95,13 @@ class FirstFit:
 # The frozen listing of the test tables
 
 
-def present_files(file_infos: DataFrame) -> DataFrame:
-    """One row per file with its present record, the one with the highest ``manifest_no``.
+def present_files(file_infos: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """One row per file with its present record, the one with the highest ``manifest_no``, and ``more`` columns of that.
 
     Records without a file id are left out; records without a number come first, and equal
     numbers are decided by the rest of the record.
     """
-    state = F.struct("db_name", "file_size_", "file_type", "file_status", "file_level")
+    state = F.struct("db_name", "file_size_", "file_type", "file_status", "file_level", *(more or []))
     rows = file_infos.where(F.col("file_id").isNotNull()).select("file_id", state.alias("__s"), F.struct("manifest_no", state).alias("__o"))
     return rows.groupBy("file_id").agg(F.max_by("__s", "__o").alias("__s")).select("file_id", "__s.*")
 

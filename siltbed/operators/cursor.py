@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions.keys import key_at_least, key_less, shortlex_sort
-from siltbed.session import cut
+from siltbed.session import cut, within
 
 
 def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -80,23 +80,57 @@ def neighbours(rows: DataFrame, key: str, block: int = 1_000_000) -> DataFrame:
     return out.where(F.col("__home") == F.col("__block")).drop("__home", "__block", "__rank")
 
 
-def locate(probes: DataFrame, key: str, ranges: DataFrame, low: str, high: str, name: str) -> DataFrame:
+def locate(probes: DataFrame, key: str, ranges: DataFrame, low: str, high: str | None, name: str, strict: bool = False, rows: int = 100_000) -> DataFrame:
     """Every probe with the ``name`` of the range [low, high] that holds its key, else NULL.
 
-    The ranges must be disjoint, as those of the files of a sorted level are. Ranges and
-    probes are laid out in key order together; the last range that begins at or before a
-    probe is the only one that can hold it. A task takes over the last range of the tasks
-    before it, one row per task. NULL keys have no range.
+    The ranges must be disjoint, as those of the files of a sorted level are; without
+    ``high`` each reaches up to the next one. With ``strict`` a range holds only keys above
+    its ``low``. The last range that begins at or before a probe is the only one that can
+    hold it. NULL keys have no range.
+
+    Up to ``rows`` ranges (they are counted) are sent to every task and searched by
+    halving, and the probes stay where they lie. Beyond that ranges and probes are laid out
+    in key order together, and a task takes over the last range of the tasks before it, one
+    row per task.
     """
-    mark = ranges.where(F.col(f"`{low}`").isNotNull()).select(F.col(f"`{low}`").alias("__k"), F.lit(0).alias("__kind"), F.struct(F.col(f"`{low}`").alias("low"), F.col(f"`{high}`").alias("high"), F.col(f"`{name}`").alias("name")).alias("__range"), F.lit(None).cast(probes.schema.simpleString()).alias("__probe"))
+    begins = ranges.where(F.col(f"`{low}`").isNotNull())
+    if within(begins, rows):
+        return _locate_few(probes, key, begins, low, high, name, strict)
+    end = F.lit(None).cast("binary") if high is None else F.col(f"`{high}`")
+    mark = begins.select(F.col(f"`{low}`").alias("__k"), F.lit(1 if strict else 0).alias("__kind"), F.struct(F.col(f"`{low}`").alias("low"), end.alias("high"), F.col(f"`{name}`").alias("name")).alias("__range"), F.lit(None).cast(probes.schema.simpleString()).alias("__probe"))
     kind = mark.schema["__range"].dataType.simpleString()
-    asked = probes.select(F.col(f"`{key}`").alias("__k"), F.lit(1).alias("__kind"), F.lit(None).cast(kind).alias("__range"), F.struct(*[F.col(f"`{c}`") for c in probes.columns]).alias("__probe"))
+    asked = probes.select(F.col(f"`{key}`").alias("__k"), F.lit(0 if strict else 1).alias("__kind"), F.lit(None).cast(kind).alias("__range"), F.struct(*[F.col(f"`{c}`") for c in probes.columns]).alias("__probe"))
     at = placed(mark.unionByName(asked), [F.octet_length("__k").asc_nulls_first(), F.col("__k").asc_nulls_first(), F.col("__kind").asc()])
-    within = Window.partitionBy("__task").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
-    lasts = at.groupBy("__task").agg(F.max_by("__range", F.when(F.col("__kind") == 0, F.col("__row"))).alias("__last"))
+    upto = Window.partitionBy("__task").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+    lasts = at.groupBy("__task").agg(F.max_by("__range", F.when(F.col("__range").isNotNull(), F.col("__row"))).alias("__last"))
     before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(F.col("__task").alias("__t"), F.last("__last", ignorenulls=True).over(before).alias("__carried"))
-    filled = at.withColumn("__here", F.last("__range", ignorenulls=True).over(within)).join(F.broadcast(carried), F.col("__task") == F.col("__t"), "left")
+    filled = at.withColumn("__here", F.last("__range", ignorenulls=True).over(upto)).join(F.broadcast(carried), F.col("__task") == F.col("__t"), "left")
     found = F.coalesce("__here", "__carried")
-    inside = key_at_least(found["high"], F.col("__k"))
-    return filled.where(F.col("__kind") == 1).select("__probe.*", F.when(inside, found["name"]).alias(name))
+    inside = F.col("__k").isNotNull() & (F.lit(True) if high is None else key_at_least(found["high"], F.col("__k")))
+    return filled.where(F.col("__probe").isNotNull()).select("__probe.*", F.when(inside, found["name"]).alias(name))
+
+
+def _locate_few(probes: DataFrame, key: str, ranges: DataFrame, low: str, high: str | None, name: str, strict: bool) -> DataFrame:
+    """``locate`` with the ranges as sorted arrays from a scalar subquery, searched by halving in an expression."""
+    order = lambda c: F.struct(F.octet_length(c).alias("n"), F.col(f"`{c}`").alias("k"))
+    end = F.lit(None) if high is None else F.col(f"`{high}`")
+    listed = F.sort_array(F.collect_list(F.struct(order(low).alias("at"), F.struct(end.alias("high"), F.col(f"`{name}`").alias("name")).alias("to"))))
+    table = ranges.agg(listed.alias("r")).select(F.struct(F.transform("r", lambda r: r["at"]).alias("at"), F.transform("r", lambda r: r["to"]).alias("to"), F.size("r").alias("n")))
+    sent = table.scalar().alias("__table")
+    table, mine = F.col("__table"), F.struct(F.octet_length("__k").alias("n"), F.col("__k").alias("k"))
+
+    def step(s, _):
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        here = F.get(table["at"], middle)
+        below = (here < mine) if strict else (here <= mine)
+        halved = F.struct(F.when(below, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(middle).alias("hi"))
+        return F.when(s["lo"] >= s["hi"], s).otherwise(halved)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(table["n"] + 1)).cast("int"))
+    begun = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), table["n"].alias("hi")), step)["lo"]
+    place = F.when(F.col("__k").isNotNull() & (begun > 0), begun - 1)
+    asked = probes.select(*[F.col(f"`{c}`").alias(f"__p{i}") for i, c in enumerate(probes.columns)], F.col(f"`{key}`").alias("__k"), sent)
+    asked = asked.select("*", F.get(table["to"], place).alias("__found"))
+    inside = F.col("__found").isNotNull() & (F.lit(True) if high is None else key_at_least(F.col("__found.high"), F.col("__k")))
+    return asked.select(*[F.col(f"__p{i}").alias(c) for i, c in enumerate(probes.columns)], F.when(inside, F.col("__found.name")).alias(name))

@@ -9,20 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.functions.keys import ring_bucket, shortlex, shortlex_sort, sub_bucket
+from siltbed.functions.keys import RING_BITS, ring_bucket, shortlex, shortlex_sort, sub_bucket
 from siltbed.functions.record import RESTART_EVERY, RESTARTS_MAX
-from siltbed.operators.cursor import ranked
+from siltbed.operators.cursor import locate, placed, ranked
+from siltbed.session import cut, join_small
 
 #: What a block of a sorted file can hold of records.
 USABLE_BYTES = 65_520
 SPLIT_LIMIT, SPLIT_LEVELS = 1000, 5
 
 
-def assign_blocks(records: DataFrame, group: list[str], order: list[Column], size: Column, capacity: int = USABLE_BYTES) -> DataFrame:
+def assign_blocks(records: DataFrame, group: list[str], order: list[Column], size: Column, capacity: int = USABLE_BYTES, start: tuple[int, int] = (0, 0)) -> DataFrame:
     """``records`` with ``block_id`` (from 0) and ``offset`` in the order of their file.
 
     Records are put into the current block while there is room and never straddle two; a
-    record larger than a block has one of its own. Files (``group``) are independent. The
+    record larger than a block has one of its own. Files (``group``) are independent; each
+    goes on from ``start``, a block and the bytes used of it. The
     packing of one file depends on all records before, so a file is walked over by one
     task, which holds only the block under way.
     """
@@ -48,7 +50,7 @@ def assign_blocks(records: DataFrame, group: list[str], order: list[Column], siz
             at = 0
             for border in borders:
                 if files[at] != current:
-                    current, block, used = files[at], 0, 0
+                    current, (block, used) = files[at], start
                 while at < border:
                     base = int(ends[at] - sizes[at])
                     fits = min(int(np.searchsorted(ends, base + capacity - used, side="right")), border)
@@ -72,9 +74,35 @@ def fixed_blocks(rows: DataFrame, position: Column, per_block: int, blocks_per_f
     return rows.withColumn("file_id", F.floor(block / blocks_per_file)).withColumn("block_id", block)
 
 
-def restart_points(rows: DataFrame, row_in_block: Column) -> DataFrame:
-    """Every 16th row of a block (``row_in_block`` from 0), 32 at most, with ``restart_no``."""
-    return rows.where((row_in_block % RESTART_EVERY == 0) & (row_in_block < RESTART_EVERY * RESTARTS_MAX)).withColumn("restart_no", F.floor(row_in_block / RESTART_EVERY))
+def block_counts(packed: DataFrame, by: list[str], block: str) -> DataFrame:
+    """How many different blocks each file has."""
+    return packed.groupBy(*by).agg(F.countDistinct(block).alias("blocks"))
+
+
+def free_space(packed: DataFrame, by: list[str], size: str, blocks_max: int, capacity: int = USABLE_BYTES) -> DataFrame:
+    """What a file can still take: the room in its last block and the blocks it hasn't begun (``packed`` as by ``assign_blocks``)."""
+    end = F.col("offset") + F.col(f"`{size}`")
+    last = packed.groupBy(*by).agg(F.max(F.struct("block_id", end.alias("used"))).alias("__last"))
+    room = F.greatest(F.lit(capacity) - F.col("__last.used"), F.lit(0)) + F.greatest(F.lit(blocks_max - 1) - F.col("__last.block_id"), F.lit(0)) * capacity
+    return last.select(*by, room.alias("room"))
+
+
+def restart_points(rows: DataFrame, row_in_block: Column, most: int | None = RESTARTS_MAX) -> DataFrame:
+    """Every 16th row of a block (``row_in_block`` from 0) with ``restart_no``; at most ``most`` of a block, None for all."""
+    wanted = row_in_block % RESTART_EVERY == 0
+    if most is not None:
+        wanted &= row_in_block < RESTART_EVERY * most
+    return rows.where(wanted).withColumn("restart_no", F.floor(row_in_block / RESTART_EVERY))
+
+
+def seek_restart(probes: DataFrame, key: str, points: DataFrame, point_key: str) -> DataFrame:
+    """Every probe with ``restart``: the columns of the last restart point whose key is below it, where a linear search begins.
+
+    A probe at or below the first point has that of no point (NULL): its search begins at
+    the first row. The points' keys must be different.
+    """
+    ranges = points.select(F.col(f"`{point_key}`").alias("low"), F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("restart"))
+    return locate(probes, key, ranges, "low", None, "restart", strict=True)
 
 
 def key_ranges(rows: DataFrame, by: list[str], key: str, more: list[Column] | None = None) -> DataFrame:
@@ -85,9 +113,18 @@ def key_ranges(rows: DataFrame, by: list[str], key: str, more: list[Column] | No
 
 
 def contiguous(ranges: DataFrame, low: str, high: str) -> DataFrame:
-    """Ranges in order of their lower bound, and whether each begins where the one before ends; the first does."""
-    w = Window.orderBy(*shortlex_sort(F.col(f"`{low}`")))  # ranges are few: one row per file
-    return ranges.withColumn("contiguous", F.coalesce(F.lag(f"`{high}`").over(w) == F.col(f"`{low}`"), F.row_number().over(w) == 1))
+    """Ranges and whether each begins where the one before, in order of their lower bound, ends; the first does.
+
+    Laid out by ranges of the bound; a task takes over the end of the task before it.
+    """
+    at = placed(ranges, shortlex_sort(F.col(f"`{low}`")))
+    w = Window.partitionBy("__task").orderBy("__row")
+    lasts = at.groupBy("__task").agg(F.max_by(F.struct(F.col(f"`{high}`").alias("h")), "__row").alias("__end"))
+    carried = lasts.select(F.col("__task").alias("__t"), F.lag("__end").over(Window.orderBy("__task")).alias("__carried"))
+    joined = at.withColumn("__above", F.lag(F.struct(F.col(f"`{high}`").alias("h"))).over(w)).join(F.broadcast(carried), F.col("__task") == F.col("__t"))
+    above = F.coalesce("__above", "__carried")
+    follows = F.when(above.isNull(), True).otherwise(F.coalesce(above["h"] == F.col(f"`{low}`"), F.lit(False)))
+    return joined.select(*[F.col(f"`{c}`") for c in ranges.columns], follows.alias("contiguous"))
 
 
 def median_split(rows: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
@@ -105,16 +142,34 @@ def median_split(rows: DataFrame, key: str, by: list[str] | None = None) -> Data
     return numbered.where(F.col("__r") == F.floor(F.col("records") / 2) + 1).select(*by, F.col(f"`{key}`").alias("key"), "records")
 
 
-def hash_split(hashes: DataFrame, h: str, limit: int = SPLIT_LIMIT, levels: int = SPLIT_LEVELS) -> DataFrame:
+def hash_split(hashes: DataFrame, h: str, limit: int = SPLIT_LIMIT, step: int = SPLIT_LEVELS) -> DataFrame:
     """(bucket, level, records, largest): how often each ring bucket must be halved until no part has ``limit`` entries.
 
-    Counted at the finest level with partial sums and rolled up from there, so only
-    2^levels rows per bucket are handled. Where even the last level is too large it is
-    taken, and ``largest`` tells.
+    Counted ``step`` levels at a time at the finest of them with partial sums, and rolled
+    up from there; only buckets that are still too large are looked at again, down to the
+    last of the 52 bits below the ring's. A bucket of equal hashes ends there, and
+    ``largest`` tells.
     """
-    fine = hashes.select(ring_bucket(F.col(h)).alias("bucket"), sub_bucket(F.col(h), levels).alias("part")).groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    each = fine.select("bucket", "part", "n", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-    parts = each.groupBy("bucket", "level", F.call_function("shiftright", F.col("part"), F.lit(levels) - F.col("level")).alias("part")).agg(F.sum("n").alias("n"))
-    sizes = parts.groupBy("bucket", "level").agg(F.max("n").alias("largest"), F.sum("n").alias("records"))
-    fits = F.when((F.col("largest") < limit) | (F.col("level") == levels), F.col("level"))
-    return sizes.groupBy("bucket").agg(F.min(fits).alias("level"), F.max("records").alias("records"), F.min_by("largest", fits).alias("largest"))
+    bits, done, at = 64 - RING_BITS, None, 0
+    rows = hashes.select(ring_bucket(F.col(h)).alias("bucket"), F.col(h).alias("h"))
+    while True:
+        upto = min(at + step, bits)
+        fine = rows.groupBy("bucket", sub_bucket(F.col("h"), upto).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        each = fine.select("bucket", "part", "n", F.explode(F.sequence(F.lit(at), F.lit(upto))).alias("level"))
+        parts = each.groupBy("bucket", "level", F.call_function("shiftright", F.col("part"), F.lit(upto) - F.col("level")).alias("part")).agg(F.sum("n").alias("n"))
+        sizes = parts.groupBy("bucket", "level").agg(F.max("n").alias("largest"), F.sum("n").alias("records"))
+        fits = F.when((F.col("largest") < limit) | (F.col("level") == bits), F.col("level"))
+        found = cut(sizes.groupBy("bucket").agg(F.min(fits).alias("level"), F.max("records").alias("records"), F.min_by("largest", fits).alias("largest")))
+        decided = found.where("level IS NOT NULL")
+        done = decided if done is None else done.unionByName(decided)
+        left = found.where("level IS NULL").select("bucket")
+        if left.isEmpty():
+            return done
+        rows, at = join_small(rows, left, ["bucket"], "left_semi"), upto + 1
+
+
+def split_parts(hashes: DataFrame, h: str, splits: DataFrame) -> DataFrame:
+    """``hashes`` with ``bucket``, ``level`` and ``part``: every split sends the half with the next bit set to a new part."""
+    rows = hashes.withColumn("bucket", ring_bucket(F.col(f"`{h}`")))
+    joined = join_small(rows, splits.select("bucket", "level"), ["bucket"], "inner")
+    return joined.withColumn("part", sub_bucket(F.col(f"`{h}`"), F.col("level")))

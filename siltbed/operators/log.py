@@ -40,8 +40,9 @@ def get(table: DataFrame, key: str, value: object) -> DataFrame:
     return table.where(F.col(f"`{key}`") == F.lit(value))
 
 
-def get_by_location(table: DataFrame, file_id: Column, block_id: Column, offset: Column, at: tuple[int, int, int]) -> DataFrame:
-    return table.where((file_id == at[0]) & (block_id == at[1]) & (offset == at[2]))
+def get_by_location(table: DataFrame, file_id: Column, block_id: Column, offset: Column, at: tuple[int, int, int], upto: int | None = None) -> DataFrame:
+    """The rows at a place (file, block, offset), or from there up to the offset ``upto``; the filter reaches the scan."""
+    return table.where((file_id == at[0]) & (block_id == at[1]) & (offset == at[2] if upto is None else offset.between(at[2], upto)))
 
 
 def multi_get(table: DataFrame, key: str, probes: DataFrame, probe: str) -> DataFrame:

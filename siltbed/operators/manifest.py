@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from siltbed.operators.consolidate import present_files
 
 
-def live_files(records: DataFrame, level: int | None = None) -> DataFrame:
-    """The present record of every file that isn't deleted, of one level or all."""
-    out = present_files(records).where(F.col("file_status") == 0)
+def live_files(records: DataFrame, level: int | None = None, more: list[str] | None = None) -> DataFrame:
+    """The present record of every file that isn't deleted, of one level or all, with ``more`` of its columns."""
+    out = present_files(records, more).where(F.col("file_status") == 0)
     return out if level is None else out.where(F.col("file_level") == level)
 
 

@@ -10,14 +10,14 @@ from siltbed.functions.wal import lsn_file, lsn_pack
 from siltbed.operators.layout import assign_blocks
 
 
-def append(records: DataFrame, log: list[str], order: list[Column], data_size: Column, file_bytes: int) -> DataFrame:
-    """``records`` with ``size`` and the ``lsn`` that appending them in order gives.
+def append(records: DataFrame, log: list[str], order: list[Column], data_size: Column, file_bytes: int, after: int = 1 << 32) -> DataFrame:
+    """``records`` with ``size`` and the ``lsn`` that appending them in order, behind the lsn ``after``, gives.
 
     An lsn is the number of the log file (from 1) and the record's end in it; a record that
     doesn't fit in what is left of ``file_bytes`` begins the next file.
     """
     size = data_size.cast("bigint") + WAL_HEAD_BYTES
-    laid = assign_blocks(records.withColumn("size", size), log, order, F.col("size"), file_bytes)
+    laid = assign_blocks(records.withColumn("size", size), log, order, F.col("size"), file_bytes, ((after >> 32) - 1, after & 0xFFFFFFFF))
     return laid.withColumn("lsn", lsn_pack(F.col("block_id") + 1, F.col("offset") + F.col("size"))).drop("block_id", "offset")
 
 

@@ -33,6 +33,11 @@ def p3_state(spark: SparkSession, sf: str) -> DataFrame:
     return live.select("db_name", F.hex("key").alias("key_hex"), "lsn", F.hex("value").alias("value_hex"))
 
 
+def p3_partial(spark: SparkSession, sf: str) -> DataFrame:
+    state = changefeed.partial_state(tables(spark, sf)("wal_log"))
+    return state.select("db_name", F.hex("key").alias("key_hex"), "lsn", F.hex("value").alias("value_hex"), "short_lsn", "long_lsn")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     t = tables(spark, sf)
     return consolidate.consolidated_files(t("slices"), t("file_infos"), scratch(spark, "p5-found"), "v1", target=QUERY_TARGET_BYTES).select("file_id")
@@ -44,7 +49,16 @@ def p5_layout(spark: SparkSession, sf: str) -> DataFrame:
     return layout.select("rec_id", "db_name", "file_level", F.col("file").contains("-").alias("rewritten"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_batches, p3_found, p3_state, p5_found, p5_layout)}
+def p5_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as a folder of small files, by database, consolidated."""
+    home = scratch(spark, "p5-folder")
+    rows = spark.read.parquet(f"{sf}/wal_log.parquet")
+    rows.repartition(16, F.xxhash64("delivery_id")).write.partitionBy("db_name").parquet(f"{home}/small files")
+    out = consolidate.consolidate_folder(spark, f"{home}/small files", f"{home}/out", "v1")
+    return out.select("delivery_id", "db_name", "lsn", "log_type", "log_size", F.hex("log_data").alias("data_hex"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_batches, p3_found, p3_state, p3_partial, p5_found, p5_layout, p5_folder)}
 
 #: SQL of the true key in upper-case hex, from a stored buffer and a length.
 TRUE_KEY_HEX = """CASE WHEN {length} > 0 THEN substr(hex({key}), 1, 2 * {length})
@@ -58,7 +72,7 @@ _WHOLE = "SELECT *, lower(trim(log_type)) AS t FROM wal_log WHERE octet_length(l
 
 _KIND = """CASE WHEN {t} IN ('put', 'p', '1') THEN 'put' WHEN {t} IN ('delete', 'del', 'd', '2') THEN 'delete' ELSE 'other' END"""
 
-_LIVE = f"""
+LIVE_SQL = f"""
 WITH whole AS ({_WHOLE}),
 present AS (SELECT db_name, lsn, {_KIND.format(t="t")} AS kind, hex(log_data) AS h FROM whole
             QUALIFY row_number() OVER (PARTITION BY db_name, lsn ORDER BY received_at DESC) = 1),
@@ -93,8 +107,14 @@ WHERE r.db_name IS NULL OR f.lsn > r.checkpoint_ OR f.first_at > r.read_at""",
     "p2_batches": """
 SELECT db_name, count(*) AS deliveries, CAST(sum(delivery_id) AS BIGINT) AS id_sum, CAST(sum(octet_length(log_data)) AS BIGINT) AS bytes
 FROM wal_log GROUP BY 1""",
-    "p3_found": _LIVE + "SELECT db_name, key_hex, lsn FROM latest WHERE kind = 'put'",
-    "p3_state": _LIVE + "SELECT db_name, key_hex, lsn, value_hex FROM latest WHERE kind = 'put'",
+    "p3_found": LIVE_SQL + "SELECT db_name, key_hex, lsn FROM latest WHERE kind = 'put'",
+    "p3_state": LIVE_SQL + "SELECT db_name, key_hex, lsn, value_hex FROM latest WHERE kind = 'put'",
+    "p3_partial": LIVE_SQL
+    + """, gone AS (SELECT db_name, key_hex, max(lsn) AS gone_at FROM changes WHERE kind = 'delete' GROUP BY 1, 2)
+SELECT c.db_name, c.key_hex, max(lsn) AS lsn, arg_max(value_hex, lsn) FILTER (value_hex <> '') AS value_hex,
+       max(lsn) FILTER (value_hex <> '' AND length(value_hex) < 64) AS short_lsn, max(lsn) FILTER (length(value_hex) >= 64) AS long_lsn
+FROM changes c LEFT JOIN gone g ON g.db_name = c.db_name AND g.key_hex = c.key_hex WHERE kind = 'put' AND (gone_at IS NULL OR lsn > gone_at) GROUP BY 1, 2""",
+    "p5_folder": "SELECT delivery_id, db_name, lsn, log_type, log_size, hex(log_data) AS data_hex FROM wal_log",
     "p5_found": _LISTING + "SELECT file_id FROM listing WHERE size < 32768",
     "p5_layout": _LISTING + "SELECT rec_id, db_name, file_level, size < 32768 AS rewritten FROM records JOIN listing ON file_id = file_id_",
 }

@@ -63,7 +63,7 @@ def kv_point_get(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT rec_id, db_name, value_ FROM slices WHERE file_id_ = 17 AND block_id_ = 0 AND offset_ >= 0 AND offset_ <= 4096")
 def kv_get_by_location(spark: SparkSession, sf: str) -> DataFrame:
     s = tables(spark, sf)("slices")
-    return s.where((F.col("file_id_") == 17) & (F.col("block_id_") == 0) & F.col("offset_").between(0, 4096)).select("rec_id", "db_name", "value_")
+    return log.get_by_location(s, F.col("file_id_"), F.col("block_id_"), F.col("offset_"), (17, 0, 0), 4096).select("rec_id", "db_name", "value_")
 
 
 @query("SELECT rec_id, offset_ // 65536 AS block_no, offset_ % 65536 AS in_block FROM slices WHERE offset_ IS NOT NULL")
@@ -112,10 +112,10 @@ def kv_size(spark: SparkSession, sf: str) -> DataFrame:
     return log.latest(_log(spark, sf), "key", ["ts", "event_id"]).agg(F.count(F.lit(1)).alias("keys"))
 
 
-@query("SELECT abs(o_custkey % 8)::INTEGER AS shard, count(*) AS records, count(DISTINCT o_custkey) AS keys FROM orders GROUP BY 1")
+@query("SELECT abs(hash_0_ % 8)::INTEGER AS shard, count(*) AS records, count(DISTINCT hash_0_) AS keys FROM key_history GROUP BY 1")
 def kv_shard_totals(spark: SparkSession, sf: str) -> DataFrame:
-    o = tables(spark, sf)("orders")
-    return o.groupBy(keys.shard8(F.col("o_custkey")).alias("shard")).agg(F.count(F.lit(1)).alias("records"), F.countDistinct("o_custkey").alias("keys"))
+    h = tables(spark, sf)("key_history")
+    return h.groupBy(keys.shard8(F.col("hash_0_")).alias("shard")).agg(F.count(F.lit(1)).alias("records"), F.countDistinct("hash_0_").alias("keys"))
 
 
 # C: ordered iteration
@@ -277,10 +277,8 @@ def kv_locate_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    f = manifest.live_files(tables(spark, sf)("file_infos"))
-    infos = tables(spark, sf)("file_infos").select("file_id", "manifest_no", "min_key_", "max_key_")
-    last = infos.groupBy("file_id").agg(F.max_by(F.struct("min_key_", "max_key_"), "manifest_no").alias("k"))
-    return f.join(last, "file_id").select("file_id", "db_name", F.col("k.min_key_").alias("min_key"), F.col("k.max_key_").alias("max_key"), F.col("file_level").cast("int").alias("level"))
+    f = manifest.live_files(tables(spark, sf)("file_infos"), more=["min_key_", "max_key_"])
+    return f.select("file_id", "db_name", F.col("min_key_").alias("min_key"), F.col("max_key_").alias("max_key"), F.col("file_level").cast("int").alias("level"))
 
 
 _FILES = """SELECT file_id, db_name, min_key_ AS min_key, max_key_ AS max_key, CAST(file_level AS INTEGER) AS level FROM
@@ -319,22 +317,47 @@ def kv_median_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hashes(spark: SparkSession, sf: str) -> DataFrame:
-    return _order_keys(spark, sf).select("key", keys.hash0(F.col("key")).alias("h"))
+    """The stored hashes of all rows of the key history; NULL where a writer left it out."""
+    return tables(spark, sf)("key_history").select("hist_id", F.col("hash_0_").alias("h"))
 
 
-@query(None)
+@query("SELECT abs(hash_0_ % 8)::INTEGER AS shard, count(*) AS records FROM key_history GROUP BY 1")
 def kv_shard8(spark: SparkSession, sf: str) -> DataFrame:
     return _hashes(spark, sf).groupBy(keys.shard8(F.col("h")).alias("shard")).agg(F.count(F.lit(1)).alias("records"))
 
 
-@query(None)
+@query("SELECT CAST((hash_0_ >> 52) & 4095 AS INTEGER) AS bucket, count(*) AS records FROM key_history GROUP BY 1")
 def kv_ring_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return _hashes(spark, sf).groupBy(keys.ring_bucket(F.col("h")).alias("bucket")).agg(F.count(F.lit(1)).alias("records"))
 
 
-@query(None)
+_SPLIT_LIMIT = 4
+_SPLIT = f"""WITH h AS (SELECT DISTINCT hash_0_ AS h, CAST((hash_0_ >> 52) & 4095 AS INTEGER) AS bucket FROM key_history WHERE hash_0_ IS NOT NULL),
+n AS (SELECT bucket, CAST(level AS INTEGER) AS level, (h >> (52 - level)) & ((CAST(1 AS BIGINT) << level) - 1) AS part, count(*) AS n FROM h, (SELECT unnest(range(0, 53)) AS level) GROUP BY ALL),
+l AS (SELECT bucket, level, max(n) AS largest, CAST(sum(n) AS BIGINT) AS records FROM n GROUP BY ALL),
+s AS (SELECT * FROM l WHERE largest < {_SPLIT_LIMIT} OR level = 52 QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY level) = 1)"""
+
+
+@query(_SPLIT + " SELECT bucket, level, records, largest FROM s")
 def kv_hash_split(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.hash_split(_hashes(spark, sf), "h", limit=4)
+    """How often each ring bucket of different hashes is halved, with few entries to a part so that some must be."""
+    return layout.hash_split(_hashes(spark, sf).where("h IS NOT NULL").select("h").distinct(), "h", limit=_SPLIT_LIMIT)
+
+
+@query(_SPLIT + " SELECT h.h, s.bucket, s.level, CAST((h.h >> (52 - s.level)) & ((CAST(1 AS BIGINT) << s.level) - 1) AS BIGINT) AS part FROM h JOIN s ON s.bucket = h.bucket")
+def kv_hash_moves(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each hash lies when all buckets have been split."""
+    hashes = _hashes(spark, sf).where("h IS NOT NULL").select("h").distinct()
+    return layout.split_parts(hashes, "h", layout.hash_split(hashes, "h", limit=_SPLIT_LIMIT)).select("h", "bucket", "level", "part")
+
+
+@query(
+    """SELECT hist_id, CASE WHEN hash_0_ >= 0 THEN hash_0_ >> 7 ELSE (hash_0_ >> 7) + (CAST(1 AS BIGINT) << 57) END AS h1,
+CAST(hash_0_ & 127 AS INTEGER) AS h2, CAST((((hash_0_ >> 7) & 4294967295) * 64) >> 32 AS INTEGER) AS start FROM key_history"""
+)
+def kv_hash_parts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = keys.hash_parts(F.col("h"))
+    return _hashes(spark, sf).select("hist_id", parts["h1"].alias("h1"), parts["h2"].alias("h2"), keys.fast_mod(parts["h1"], 64).alias("start"))
 
 
 @query(

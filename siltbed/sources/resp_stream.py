@@ -2,47 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions.resp import bulk, decode_requests, simple, split_requests
 
 
 def from_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of (version, data) from files that hold what clients sent, one request behind the other.
+    """A stream of (at, source, request_no, data) from files that hold what clients sent, one request behind the other.
 
-    ``version`` orders the requests: by the file's time of change, then by place in it.
+    ``ORDER`` is the order of the requests: the file's time of change, its path, the place in it.
     """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
-    sent = split_requests(files.select(F.unix_millis("modificationTime").alias("at"), "content"), "content")
-    return sent.select((F.col("at") * 1_000_000 + F.col("request_no")).alias("version"), F.col("request").alias("data"))
+    sent = split_requests(files.select(F.unix_micros("modificationTime").alias("at"), F.col("path").alias("source"), "content"), "content")
+    return sent.select("at", "source", F.col("request_no").cast("bigint").alias("request_no"), F.col("request").alias("data"))
 
 
 def from_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """A stream of (version, data) from a Kafka topic, one request per message.
+    """A stream of (at, source, request_no, data) from a Kafka topic, one request per message.
 
-    The messages must be partitioned by key: the order of two partitions means nothing.
-    Needs Spark's Kafka package on the class path.
+    ``ORDER`` is the message's time, its partition and its offset, so requests for one key
+    must go to one partition. Needs Spark's Kafka package on the class path.
     """
     messages = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
-    return messages.select((F.col("partition").cast("bigint") * F.lit(1 << 48) + F.col("offset")).alias("version"), F.col("value").alias("data"))
+    return messages.select(F.unix_micros("timestamp").alias("at"), F.col("partition").cast("string").alias("source"), F.col("offset").alias("request_no"), F.col("value").alias("data"))
 
 
-def writes(requests: DataFrame, data: str, order: str) -> DataFrame:
-    """(key, value, version, deleted) of the SET and DEL requests; works on streams too."""
-    decoded = decode_requests(requests.select(F.col(f"`{order}`").alias("version"), F.col(f"`{data}`").alias("data")), "data")
-    return decoded.where(F.col("verb").isin("SET", "DEL")).select("key", "value", F.col("version").cast("bigint").alias("version"), (F.col("verb") == "DEL").alias("deleted"))
+#: What ranks the requests of a stream.
+ORDER = ["at", "source", "request_no"]
 
 
-def replies(requests: DataFrame, data: str, order: str, table: DataFrame) -> DataFrame:
-    """(order, reply): OK for writes, the value or the null reply for reads, an error for the rest.
+def writes(requests: DataFrame, data: str, order: list[str]) -> DataFrame:
+    """(order columns, key, value, deleted) of the SET and DEL requests; works on streams too."""
+    kept = [F.col(f"`{c}`") for c in order]
+    decoded = decode_requests(requests.select(*kept, F.col(f"`{data}`").alias("data")), "data")
+    return decoded.where(F.col("verb").isin("SET", "DEL")).select(*kept, "key", "value", (F.col("verb") == "DEL").alias("deleted"))
 
-    ``table`` (key, value) answers all reads of a batch as of before the batch.
+
+def replies(requests: DataFrame, data: str, order: list[str], table: DataFrame) -> DataFrame:
+    """(order columns, reply): OK for writes, the value or the null reply for reads, an error for the rest.
+
+    A read sees the last write of its key before it in the batch, else ``table`` (key,
+    value), the state before the batch. The requests of one key are answered in order by
+    one task, which holds the last write only.
     """
-    decoded = decode_requests(requests.select(F.col(f"`{order}`"), F.col(f"`{data}`").alias("__data")), "__data").drop("__data", "value")
-    stored = table.select(F.col("key").alias("__key"), F.col("value").alias("__value"))
-    joined = decoded.join(stored, decoded["key"] == stored["__key"], "left")
+    kept = [F.col(f"`{c}`") for c in order]
+    decoded = decode_requests(requests.select(*kept, F.col(f"`{data}`").alias("__data")), "__data").drop("__data")
+    stored = table.select(F.col("key").alias("__key"), F.col("value").alias("__stored"))
+    above = Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    written = F.when(F.col("verb").isin("SET", "DEL"), F.struct("value"))
+    seen = decoded.withColumn("__written", F.last(written, ignorenulls=True).over(above))
+    joined = seen.join(stored, seen["key"] == stored["__key"], "left")
     error = F.concat(F.lit("-ERR "), F.col("problem"), F.lit("\r\n")).cast("binary")
-    reply = F.when(F.col("problem").isNotNull(), error).when(F.col("verb") == "GET", bulk(F.col("__value"))).otherwise(simple("OK"))
-    return joined.select(F.col(f"`{order}`"), reply.alias("reply"))
+    value = F.when(F.col("__written").isNotNull(), F.col("__written.value")).otherwise(F.col("__stored"))
+    reply = F.when(F.col("problem").isNotNull(), error).when(F.col("verb") == "GET", bulk(value)).otherwise(simple("OK"))
+    return joined.select(*kept, reply.alias("reply"))

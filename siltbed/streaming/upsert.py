@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,11 +15,14 @@ from siltbed.sources import storage
 class UpsertSink:
     """Latest row per key of a stream, under ``home`` on shared storage.
 
-    Layout: ``runs/batch=<id>`` (level 0), ``base/upto=<id>`` (all batches up to that one,
-    compacted), ``checkpoint``. A micro-batch first shrinks to one row per key and is
-    written under its own number, so a batch that is repeated after a failure replaces
-    itself. Late rows need no watermark: the order column decides, not the arrival. State
-    is files, not executor memory.
+    Layout: ``runs/<tier>.<first>-<last>``, the rows of the batches ``first`` to ``last``,
+    and ``checkpoint``. A micro-batch first shrinks to one row per key and is written under
+    its own number, so a batch that is repeated after a failure replaces itself. When a
+    tier has more than ``runs_max`` runs they become one run of the next tier, so a row is
+    written again only as often as there are tiers. Runs that a wider one has replaced are
+    removed by the next compaction; until then readers that began before can go on. Late
+    rows need no watermark: the order column decides, not the arrival. State is files, not
+    executor memory.
     """
 
     def __init__(self, spark: SparkSession, home: str, key: str, order: list[str], deleted: str | None = None, runs_max: int = LEVEL0_FILES):
@@ -28,38 +33,41 @@ class UpsertSink:
         return writer.trigger(**trigger).start()
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        upto = self._base()
-        if upto is not None and number <= upto:
+        if any(tier and first <= number <= last for tier, first, last in self._runs()[0]):
             return
-        latest(batch, self.key, self.order).write.mode("overwrite").parquet(f"{self.home}/runs/batch={number}")
-        if len(self._runs()) > self.runs_max:
-            self.compact()
+        self._write(latest(batch, self.key, self.order), (0, number, number))
+        self.compact()
 
-    def _base(self) -> int | None:
-        found = [int(n.removeprefix("upto=")) for n in storage.children(self.spark, f"{self.home}/base")]
-        return max(found, default=None)
+    def _write(self, rows: DataFrame, run: tuple[int, int, int]) -> None:
+        name = "{}.{:012d}-{:012d}".format(*run)
+        rows.write.mode("overwrite").parquet(f"{self.home}/_staged/{name}")
+        storage.delete(self.spark, f"{self.home}/runs/{name}")
+        storage.publish(self.spark, f"{self.home}/_staged/{name}", f"{self.home}/runs/{name}")
 
-    def _runs(self) -> list[int]:
-        upto = self._base()
-        found = (int(n.removeprefix("batch=")) for n in storage.children(self.spark, f"{self.home}/runs"))
-        return sorted(n for n in found if upto is None or n > upto)
+    def _runs(self) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """(live, replaced) runs in order of their batches; a run is replaced by one of a higher tier that has its batches."""
+        names = (re.fullmatch(r"(\d+)\.(\d+)-(\d+)", n) for n in storage.children(self.spark, f"{self.home}/runs"))
+        found = sorted((tuple(map(int, n.groups())) for n in names if n), key=lambda r: (r[1], -r[0]))
+        replaced = [r for r in found if any(o[0] > r[0] and o[1] <= r[1] and r[2] <= o[2] for o in found)]
+        return [r for r in found if r not in replaced], replaced
 
-    def _all(self) -> DataFrame | None:
-        paths = [f"{self.home}/runs/batch={n}" for n in self._runs()]
-        if (upto := self._base()) is not None:
-            paths.append(f"{self.home}/base/upto={upto}")
-        return self.spark.read.parquet(*paths) if paths else None
+    def _read(self, runs: list[tuple[int, int, int]]) -> DataFrame | None:
+        return self.spark.read.parquet(*["{}/runs/{}.{:012d}-{:012d}".format(self.home, *r) for r in runs]) if runs else None
 
-    def compact(self) -> None:
-        """Merge base and runs into a new base; deletes stay in it, so that late older writes lose to them."""
-        runs = self._runs()
-        if not runs:
+    def compact(self, everything: bool = False) -> None:
+        """Merge tiers that have too many runs; deletes stay, so that late older writes lose to them."""
+        live, replaced = self._runs()
+        full = {tier for tier, _, _ in live if sum(r[0] == tier for r in live) > self.runs_max}
+        if not full and not (everything and len(live) > 1):
             return
-        staged = f"{self.home}/_staged/{runs[-1]}"
-        latest(self._all(), self.key, self.order).write.mode("overwrite").parquet(staged)
-        storage.publish(self.spark, staged, f"{self.home}/base/upto={runs[-1]}")
+        for run in replaced:
+            storage.delete(self.spark, "{}/runs/{}.{:012d}-{:012d}".format(self.home, *run))
+        tier = max(r[0] for r in live) if everything else min(full)
+        picked = live if everything else [r for r in live if r[0] == tier]
+        self._write(latest(self._read(picked), self.key, self.order), (tier + 1, min(r[1] for r in picked), max(r[2] for r in picked)))
+        self.compact()
 
     def table(self) -> DataFrame | None:
         """The present state; None before the first batch."""
-        rows = self._all()
+        rows = self._read(self._runs()[0])
         return None if rows is None else latest(rows, self.key, self.order, self.deleted)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections import OrderedDict
 from functools import reduce
@@ -13,15 +12,12 @@ from pyspark.sql import functions as F
 from siltbed.functions.status import InvalidKey, InvalidPath, NotFound
 from siltbed.operators import cursor, layout, log, merge
 from siltbed.sources import storage
+from siltbed.sources.states import NumberedState
 
 ORDER = ["version", "seq"]
 SCHEMA = "key binary, value binary, version bigint, seq bigint, deleted boolean"
 
 
-class ConcurrentWrite(RuntimeError):
-    """Another writer has committed meanwhile; open the table anew."""
-
-
 class RunCache:
     """The files used last, persisted by Spark; the one used longest ago goes when there are more than ``capacity``."""
 
@@ -66,25 +62,18 @@ class KvTable:
 
     def __init__(self, spark: SparkSession, home: str, create: bool = True, level0_files: int | None = merge.LEVEL0_FILES, cache: RunCache | None = None, file_rows: int = 10_000_000):
         self.spark, self.home, self.level0_files, self.cache, self.file_rows = spark, home.rstrip("/"), level0_files, cache, file_rows
-        numbers = self._manifests()
-        if not numbers and not create:
+        self.manifest = NumberedState(spark, f"{self.home}/manifest", {"seq": 0, "files": [], "checkpoint": [0, 0, 0], "counters": {}})
+        if not self.manifest.number and not create:
             raise InvalidPath(home)
-        self.number = numbers[-1] if numbers else 0
-        self.state = json.loads(storage.read_text(spark, self._manifest(self.number))) if numbers else {"seq": 0, "files": [], "checkpoint": [0, 0, 0], "counters": {}}
-
-    def _manifest(self, number: int) -> str:
-        return f"{self.home}/manifest/{number:012d}.json"
 
-    def _manifests(self) -> list[int]:
-        return sorted(int(n.removesuffix(".json")) for n in storage.children(self.spark, f"{self.home}/manifest") if n.endswith(".json"))
+    @property
+    def state(self) -> dict:
+        return self.manifest.value
 
     def _commit(self, files: list[dict], seq: int, checkpoint: int | None, **counted: int) -> None:
         triple = self.state["checkpoint"] if checkpoint is None else [self.checkpoint, checkpoint, checkpoint]
         counters = {k: self.state["counters"].get(k, 0) + counted.get(k, 0) for k in {*self.state["counters"], *counted}}
-        state = {"seq": seq, "files": files, "checkpoint": triple, "counters": counters}
-        if not storage.publish_text(self.spark, self._manifest(self.number + 1), json.dumps(state)):
-            raise ConcurrentWrite(self.home)
-        self.number, self.state = self.number + 1, state
+        self.manifest.commit({"seq": seq, "files": files, "checkpoint": triple, "counters": counters})
 
     @property
     def counters(self) -> dict[str, int]:
@@ -149,6 +138,12 @@ class KvTable:
         version = F.col("version").cast("bigint") if "version" in rows.columns else F.lit(None).cast("bigint")
         self._write(rows.select(F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.unhex(F.lit(""))).alias("value"), version.alias("version"), F.lit(False).alias("deleted")))
 
+    def write(self, rows: DataFrame) -> None:
+        """Puts and deletes in one call: (key, value, version, deleted) rows."""
+        deleted = F.coalesce(F.col("deleted"), F.lit(False))
+        value = F.when(~deleted, F.coalesce(F.col("value").cast("binary"), F.unhex(F.lit(""))))
+        self._write(rows.select(F.col("key").cast("binary").alias("key"), value.alias("value"), F.col("version").cast("bigint").alias("version"), deleted.alias("deleted")))
+
     def delete(self, keys: DataFrame) -> None:
         """Delete the keys of ``keys`` (key[, version])."""
         version = F.col("version").cast("bigint") if "version" in keys.columns else F.lit(None).cast("bigint")
@@ -224,9 +219,10 @@ class KvTable:
     def compact(self, level: int | None = None) -> None:
         """Merge the files of ``level`` and those of the next one that overlap them into new files of the next level.
 
-        Files that don't overlap stay as they are. Deletes and older writes go when no
-        deeper level is left; older writes always go among the files merged. Without
-        ``level`` everything is merged into level 2. What is visible doesn't change.
+        Files that don't overlap stay as they are. Of the files merged the last write of
+        every key is kept, deletes too, so that late writes of older versions lose to them.
+        Without ``level`` everything is merged into level 2 and deletes go. What is visible
+        doesn't change.
         """
         if level is None:
             picked, target = self.state["files"], 2
@@ -236,9 +232,8 @@ class KvTable:
         if not picked:
             return
         kept = [f for f in self.state["files"] if f not in picked]
-        bottom = not any(f["level"] >= target or f["level"] == 0 for f in kept)
         seq = self.state["seq"] + 1
-        merged = log.latest(self.spark.read.parquet(*[f"{self.home}/{f['path']}" for f in picked]).select(*SCHEMA_COLUMNS), "key", ORDER, "deleted" if bottom else None)
+        merged = log.latest(self.spark.read.parquet(*[f"{self.home}/{f['path']}" for f in picked]).select(*SCHEMA_COLUMNS), "key", ORDER, "deleted" if level is None else None)
         files = self._store(merged, seq, target, -(-sum(f["rows"] for f in picked) // self.file_rows))
         for f in files:
             f.pop("deleted")
@@ -258,9 +253,7 @@ class KvTable:
         gone = [n for n in storage.children(self.spark, f"{self.home}/runs") if n not in named]
         for n in gone:
             storage.delete(self.spark, f"{self.home}/runs/{n}")
-        for number in self._manifests():
-            if number < self.number:
-                storage.delete(self.spark, self._manifest(number))
+        self.manifest.forget()
         return gone
 
 

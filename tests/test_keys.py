@@ -114,3 +114,27 @@ def test_status_texts(spark):
     areas = spark.createDataFrame([(c,) for c in (0, 30004, 40001, 60001, 70001)], "c int").select(status.code_area(F.col("c")))
     assert [r[0] for r in areas.collect()] == ["general", "server", "db", "wal", "sst"]
     assert rows(spark.createDataFrame([(70001,)], "c int").select(status.code_area(F.col("c")))) == [("sst",)]
+
+
+def test_decoding_in_columns(spark):
+    data = [(b"key0", b"value", 7, 1, 2, 1, 99), (b"k", None, (1 << 40), 3, 0, 0, 0), (b"z", b"", -5, -1, (1 << 31), 1, (1 << 62))]
+    df = spark.createDataFrame(data, "k binary, v binary, ver bigint, f bigint, b bigint, t bigint, o bigint")
+    c = {n: F.col(n) for n in df.columns}
+    raw = df.select(record.encode_record(c["k"], c["v"], c["ver"], c["f"], c["b"], c["t"], c["o"], keys.hash0(c["k"])).alias("r"))
+    got = raw.select(record.decode_columns(F.col("r")).alias("d")).select("d.*").collect()
+    for (k, v, ver, f, b, t, o), r in zip(data, got, strict=True):
+        assert (bytes(r.key), bytes(r.value), r.version, r.file_id, r.block_id, r.block_type, r.offset) == (k, v or b"", ver, f, b, t, o)
+        assert r.key_hash == signed(xxhash.xxh64(k).intdigest())
+    bad = raw.select(F.expr("substr(r, 1, length(r) - 1)").alias("r")).unionByName(spark.createDataFrame([(None,), (b"",), (bytes(45),)], "r binary"))
+    assert {r[0] for r in bad.select(record.decode_columns(F.col("r"))).collect()} == {None}
+
+
+def test_names_and_hash_parts(spark):
+    got = spark.createDataFrame([(None,), (b"",), (b"k",), (b"k" * 65,)], "k binary").select(keys.key_text(F.col("k"))).collect()
+    assert [r[0] for r in got] == ["MIN_BYTE", "MIN_BYTE", "k", "MAX_BYTE"]
+    for h in (-1, 0, 12345678901234567, -(1 << 63)):
+        u = h & (2**64 - 1)
+        parts = keys.hash_parts(F.lit(h).cast("bigint"))
+        assert tuple(spark.range(1).select(parts["h1"], parts["h2"], keys.fast_mod(parts["h1"], 64)).first()) == (u >> 7, u & 127, ((u >> 7) & 0xFFFFFFFF) * 64 >> 32)
+    assert spark.range(1).select(record.cache_key(F.lit(1 << 32), F.lit(2))).first()[0] is None
+    assert status.code_table(spark).count() == status.code_table(spark).select("code").distinct().count()

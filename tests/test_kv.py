@@ -10,9 +10,12 @@ from siltbed.functions import resp, status
 from siltbed.operators import cache, cursor, layout, log, merge
 from siltbed.operators import wal as wal_ops
 from siltbed.session import join_small
+from siltbed.functions.status import LogError
 from siltbed.sources import resp_stream, storage
 from siltbed.streaming.upsert import UpsertSink
-from siltbed.table import ConcurrentWrite, KvTable, RunCache
+from siltbed.sources.states import ConcurrentWrite
+from siltbed.sources.stored_log import StoredLog
+from siltbed.table import KvTable, RunCache
 from tests.conftest import rows
 
 shortlex = lambda k: (len(k), k)
@@ -66,9 +69,33 @@ def test_locate(spark):
     keys = sorted({str(rng.randrange(10**5)) for _ in range(300)}, key=shortlex)
     ranges = [(keys[i], keys[i + 9], i // 15) for i in range(0, 285, 15)]
     probes = [str(rng.randrange(10**5)) for _ in range(300)] + [r[0] for r in ranges] + [r[1] for r in ranges] + [None]
-    out = cursor.locate(spark.createDataFrame([(p,) for p in probes], "p string"), "p", spark.createDataFrame(ranges, "lo string, hi string, f bigint"), "lo", "hi", "f")
-    want = [(p, next((f for lo, hi, f in ranges if p is not None and shortlex(lo) <= shortlex(p) <= shortlex(hi)), None)) for p in probes]
-    assert rows(out) == sorted(want, key=lambda r: [(v is None, str(v)) for v in r])
+    p, r = spark.createDataFrame([(x,) for x in probes], "p string"), spark.createDataFrame(ranges, "lo string, hi string, f bigint")
+    key = lambda row: [(v is None, str(v)) for v in row]
+    want = [(x, next((f for lo, hi, f in ranges if x is not None and shortlex(lo) <= shortlex(x) <= shortlex(hi)), None)) for x in probes]
+    above = [(x, next((f for lo, _, f in reversed(ranges) if x is not None and shortlex(lo) < shortlex(x)), None)) for x in probes]
+    for few in (100_000, 3):  # by halving in every task, and by laying out both
+        assert rows(cursor.locate(p, "p", r, "lo", "hi", "f", rows=few)) == sorted(want, key=key)
+        assert rows(cursor.locate(p, "p", r, "lo", None, "f", strict=True, rows=few)) == sorted(above, key=key)
+    assert rows(cursor.locate(p, "p", r.limit(0), "lo", "hi", "f")) == sorted([(x, None) for x in probes], key=key)
+    points = spark.createDataFrame([("b", 0), ("d", 1), ("aa", 2)], "k string, restart_no int")
+    got = {x.p: x.restart and x.restart.restart_no for x in layout.seek_restart(spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("zz",)], "p string"), "p", points, "k").collect()}
+    assert got == {"a": None, "b": None, "c": 0, "d": 0, "zz": 2}
+
+
+def test_contiguity_over_many_tasks(spark):
+    bounds = [(chr(97 + i), chr(98 + i)) for i in range(20)] + [("v", "w"), ("x", "z")]
+    df = spark.createDataFrame(random.Random(3).sample(bounds, len(bounds)), "low string, high string").repartition(5)
+    got = {r.low: r.contiguous for r in layout.contiguous(df, "low", "high").collect()}
+    assert got == {lo: lo not in ("v", "x") for lo, _ in bounds}
+
+
+def test_blocks_and_restarts(spark):
+    df = spark.createDataFrame([("x", i, 40) for i in range(5)], "f string, i int, n int")
+    packed = layout.assign_blocks(df, ["f"], [F.col("i")], F.col("n"), 100)
+    assert layout.block_counts(packed, ["f"], "block_id").first().blocks == 3
+    assert layout.free_space(packed, ["f"], "n", 5, 100).first().room == 60 + 2 * 100
+    block = spark.range(600)
+    assert layout.restart_points(block, F.col("id")).count() == 32 and layout.restart_points(block, F.col("id"), None).count() == 38
 
 
 def test_merge_keeps_duplicates_and_compact_drops_them(spark):
@@ -116,7 +143,13 @@ def test_splits(spark):
     got = {r.bucket: (r.level, r.records, r.largest) for r in layout.hash_split(spark.createDataFrame([(h,) for h in hashes], "h bigint"), "h", limit=40).collect()}
     sizes = lambda level: [sum(((h >> (52 - level)) & ((1 << level) - 1)) == p for h in hashes[:100]) for p in range(1 << level)]
     level = next(n for n in range(6) if max(sizes(n)) < 40)
-    assert got[7] == (level, 100, max(sizes(level))) and got[9] == (5, 60, 60)
+    # Equal hashes can't be parted; the search goes down to the last bit.
+    assert got[7] == (level, 100, max(sizes(level))) and got[9] == (52, 60, 60)
+    near = [(5 << 52) | i for i in range(8)]
+    df = spark.createDataFrame([(h,) for h in near], "h bigint")
+    found = layout.hash_split(df, "h", limit=2)
+    assert rows(found) == [(5, 52, 8, 1)]
+    assert sorted((r.h, r.part) for r in layout.split_parts(df, "h", found).collect()) == [(h, h & ((1 << 52) - 1)) for h in near]
 
 
 @pytest.mark.parametrize("chunks", [1, 3, 9])
@@ -159,9 +192,11 @@ def test_resp_requests(spark):
     out = {r.i: (r.verb, r.problem) for r in resp.decode_requests(raw.unionByName(spark.createDataFrame([(4, None, "c")], "i int, data binary, problem string")), "data").collect()}
     assert out == {1: ("SET", None), 2: ("GET", None), 3: (None, "unknown verb"), 4: (None, "no data")}
     table = spark.createDataFrame([(b"k", b"old\r\n")], "key binary, value binary")
-    replies = {r.i: bytes(r.reply) for r in resp_stream.replies(raw, "data", "i", table).collect()}
-    assert replies == {1: b"+OK\r\n", 2: b"$5\r\nold\r\n\r\n", 3: b"-ERR unknown verb\r\n"}
-    assert rows(resp_stream.writes(raw, "data", "i")) == [(b"k", b"v", 1, False)]
+    replies = {r.i: bytes(r.reply) for r in resp_stream.replies(raw, "data", ["i"], table).collect()}
+    assert replies == {1: b"+OK\r\n", 2: b"$1\r\nv\r\n", 3: b"-ERR unknown verb\r\n"}
+    late = {r.i: bytes(r.reply) for r in resp_stream.replies(raw.where("i > 1"), "data", ["i"], table).collect()}
+    assert late[2] == b"$5\r\nold\r\n\r\n"
+    assert rows(resp_stream.writes(raw, "data", ["i"])) == [(1, b"k", b"v", False)]
 
 
 def test_join_small_both_ways(spark):
@@ -257,7 +292,7 @@ def test_a_stop_anywhere_leaves_the_old_or_the_new_state(spark, tmp_path, monkey
     with pytest.raises(ConcurrentWrite):
         other.put(two)
     fresh = KvTable(spark, home)
-    assert fresh.vacuum() and rows(fresh.rows().select("key")) == [(b"a",), (b"b",), (b"c",)] and len(fresh._manifests()) == 1
+    assert fresh.vacuum() and rows(fresh.rows().select("key")) == [(b"a",), (b"b",), (b"c",)] and len(fresh.manifest.numbers()) == 1
 
 
 def test_lookups_open_only_files_that_can_hold_the_key(spark, tmp_path):
@@ -317,7 +352,10 @@ def test_stream_equals_batch(spark, tmp_path):
     sink.start(stream, availableNow=True).awaitTermination()
     want = rows(log.latest(spark.createDataFrame(data, schema), "k", ["ver"], "gone"))
     assert rows(sink.table()) == want
-    sink.compact()
+    live, replaced = sink._runs()
+    assert len(live) <= 2 * 3 and max(r[0] for r in live) == 1 and {r[1:] for r in live}.isdisjoint({r[1:] for r in replaced})
+    sink.compact(everything=True)
+    assert len(sink._runs()[0]) == 1
     sink.apply(spark.createDataFrame([("0", 10**6, "repeated batch", False)], schema), 0)
     assert rows(sink.table()) == want
 
@@ -332,7 +370,7 @@ def test_recovery_from_a_log(spark, tmp_path):
     assert table.recover(spark.createDataFrame(records, schema)) == 4
     again = KvTable(spark, f"file://{tmp_path}/t", create=False)
     assert again.checkpoint == 4 and rows(again.rows().select("key", "value")) == [(b"b", b"1")]
-    again.state["checkpoint"] = [2, 9, 4]
+    again.manifest.value["checkpoint"] = [2, 9, 4]
     assert again.checkpoint == 2
 
 
@@ -341,9 +379,37 @@ def test_requests_from_files(spark, tmp_path):
     sent = [encode(b"SET", b"a", b"1\r\n*1"), encode(b"SET", b"b", b""), encode(b"DEL", b"a"), encode(b"GET", b"b")]
     assert resp.parse_stream(b"".join(sent) + b"*1\r\n$5\r\nab") == (sent, b"*1\r\n$5\r\nab")
     assert resp.parse_stream(b"junk") == ([], b"junk")
+    # An argument that is too long is refused; what stands behind it is still read.
+    long = encode(b"SET", b"long", b"x" * resp.MAX_ARGUMENT_BYTES)
+    assert resp.parse_stream(long + b"".join(sent)) == ([long, *sent], b"")
+    assert resp.parse(long) == (None, "argument too long")
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "client1").write_bytes(b"".join(sent) + b"junk")
-    stream = resp_stream.writes(resp_stream.from_files(spark, str(tmp_path / "in")), "data", "version")
-    sink = UpsertSink(spark, f"file://{tmp_path}/out", "key", ["version"], "deleted")
+    stream = resp_stream.writes(resp_stream.from_files(spark, str(tmp_path / "in")), "data", resp_stream.ORDER)
+    sink = UpsertSink(spark, f"file://{tmp_path}/out", "key", resp_stream.ORDER, "deleted")
     sink.start(stream, availableNow=True).awaitTermination()
     assert rows(sink.table().select("key", "value")) == [(b"b", b"")]
+
+
+def test_stored_log(spark, tmp_path):
+    home = f"file://{tmp_path}/log"
+    record = lambda low, high: spark.createDataFrame([(i,) for i in range(low, high)], "i bigint")
+    size = F.lit(37)  # 50 bytes with its head, two to a file
+    at = lambda i: ((1 + i // 2) << 32) + 50 * (1 + i % 2)
+    log = StoredLog(spark, home, 120)
+    with pytest.raises(LogError):
+        log.read_after(0)
+    assert log.append(record(0, 3), [F.col("i")], size) == at(2)
+    assert StoredLog(spark, home, 120).append(record(3, 6), [F.col("i")], size) == at(5)
+    with pytest.raises(ConcurrentWrite):
+        log.append(record(3, 6), [F.col("i")], size)
+    log = StoredLog(spark, home, 120)
+    assert {r.i: r.lsn for r in log.read_after(0).collect()} == {i: at(i) for i in range(6)}
+    log.reset_write(at(3))
+    assert rows(log.read_after(at(1)).select("i")) == [(2,), (3,)]
+    assert log.append(record(7, 8), [F.col("i")], size) == at(4)
+    assert log.append(record(0, 0), [F.col("i")], size) == at(4)
+    log.truncate(at(3))
+    assert rows(log.read_after(0).select("i")) == [(2,), (3,), (7,)]
+    log.reset(at(4))
+    assert log.last == 4 << 32 and log.append(record(1, 2), [F.col("i")], size) == (4 << 32) + 50
