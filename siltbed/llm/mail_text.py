@@ -29,16 +29,6 @@ _TAG = re.compile(r"</?[a-z!?][^<>]*>", re.I)
 _LOOKS_HTML = re.compile(r"</?(?:html|body|p|br|div|span|b|i|a|table|td|tr|ul|li|blockquote|font)\b[^<>]*>", re.I)
 #: Characters that take no space and have no say in a word: format characters, variation selectors, joiners.
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb\U000e0000-\U000e0fff]")
-_WORD = re.compile(r"=\?([\w.:+-]+)\?([bq])\?([^?\s]*)\?=", re.I)
-_ENCODED_GAP = re.compile(r"(\?=)[ \t]*(?:\r?\n)?[ \t]+(=\?)")
-_UNSEEN = re.compile(r"<!--.*?-->|<(script|style|head|title)\b.*?</\1\s*>", re.I | re.S)
-# Elements that don't interrupt a word.
-_INLINE = "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark nobr q s samp small span strike strong sub sup tt u var wbr".split()
-_INLINE_TAG = re.compile(r"</?(?:%s)(?:\s[^<>]*|/)?>" % "|".join(_INLINE), re.I)
-_TAG = re.compile(r"</?[a-z!?][^<>]*>", re.I)
-_LOOKS_HTML = re.compile(r"</?(?:html|body|p|br|div|span|b|i|a|table|td|tr|ul|li|blockquote|font)\b[^<>]*>", re.I)
-#: Characters that take no space and have no say in a word: format characters, variation selectors, joiners.
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻\U000e0000-\U000e0fff]")
 _WORD = re.compile(r"[^\W_]+")
 
 _TEXT_LIKE = ("text/", "message/")

@@ -14,10 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltbed.operators.binpack import pack_in_rounds
+
+#: Where the session sets no other (``siltbed.tokenizer``).
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the public rank files.
 TOKENIZER_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CAPACITY = 2048
+#: Bits of the chunk number in each round of packing.
+ROUNDS = (12, 6, 0)
 
 
 class TightestFit:
@@ -93,7 +98,7 @@ def token_counts(documents: DataFrame, doc_id: str, text: str, tokenizer: str =
     return documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(count, f"id {kind}, n_tokens bigint").select(F.col("id").alias(doc_id), "n_tokens")
 
 
-def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, chunk_items: int = 50_000, rows: int | None = None) -> DataFrame:
+def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """(item, piece, start_at, size, container): every item in exactly one container, or cut into pieces.
 
     An item of at most ``capacity`` is one piece. A longer one is cut into pieces of the
@@ -101,34 +106,22 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, chunk
     or negative count as 0 and still take a place. Every row is an item, repeated rows and
     NULL items too. Other columns are dropped; no rows: no containers.
 
-    More than ``chunk_items`` pieces are spread by hash over chunks of about that size, and
-    each chunk is packed on its own by one task, which holds the numbers of its open
-    containers only; the items stream past in decreasing size. As a chunk leaves but one
-    container or so badly filled, the waste doesn't depend on the number of chunks. ``rows``
-    is the number of items, if the caller knows it; else it is counted.
+    The pieces are packed in ``rounds`` (see ``binpack``): by hash in a number of chunks
+    that doesn't depend on how many there are, and the worst filled containers of every
+    chunk once more together, down to a single chunk. A task holds one chunk's pieces, a
+    4,096th of all by default, and the waste doesn't depend on the number of chunks.
     """
     sized = items.select(F.col(f"`{item}`").alias("item"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)), F.lit(0)).alias("n"))
-    chunks = max(1, -(-(items.count() if rows is None else rows) // chunk_items))
     pieces = sized.select("item", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.floor((F.col("n") - 1) / capacity), F.lit(0)))).alias("piece"))
     pieces = pieces.select("item", "piece", (F.col("piece") * capacity).alias("start_at"), F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).alias("size"))
-    chunked = pieces.withColumn("chunk", F.pmod(F.xxhash64("item", "piece"), F.lit(chunks)))
-    laid = chunked.repartition("chunk").sortWithinPartitions("chunk", F.desc("size"), "item", "piece").select("item", "piece", "start_at", "size", "chunk")
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, bins = None, None
-        for batch in batches:
-            numbers = []
-            for n, chunk in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if chunk != current:
-                    current, bins = chunk, TightestFit(capacity)
-                numbers.append((chunk << 32) + bins.place(n))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(numbers, pa.int64())], names=["item", "piece", "start_at", "size", "container"])
+    packed = pack_in_rounds(pieces, [], ["item", "piece"], "size", lambda: TightestFit(capacity), capacity, rounds)
+    return packed.select(F.col("item").alias(item), "piece", "start_at", F.col("size").alias(size), F.col("bin").alias("container"))
 
-    kind = items.schema[item].dataType.simpleString()
-    packed = laid.mapInArrow(fill, f"item {kind}, piece bigint, start_at bigint, size bigint, container bigint")
-    return packed.select(F.col("item").alias(item), "piece", "start_at", F.col("size").alias(size), "container")
 
+def containers(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
+    """(doc_id, piece, start_at, n_tokens, container) of all texts, measured with a public tokenizer.
 
-def containers(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, chunk_items: int = 50_000) -> DataFrame:
-    """(doc_id, piece, start_at, n_tokens, container) of all texts, measured with a public tokenizer."""
-    return pack(token_counts(documents, doc_id, text, tokenizer), doc_id, "n_tokens", capacity, chunk_items, rows=documents.count())
+    ``tokenizer`` is a rank file; without it the session's setting ``siltbed.tokenizer`` names it.
+    """
+    path = tokenizer or documents.sparkSession.conf.get("siltbed.tokenizer", TOKENIZER)
+    return pack(token_counts(documents, doc_id, text, path), doc_id, "n_tokens", capacity, rounds)

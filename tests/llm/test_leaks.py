@@ -1,8 +1,11 @@
 """Leaks against a comparison of every stretch with every text."""
 
 import base64
+import email
 import quopri
 import random
+import re
+import tracemalloc
 import unicodedata
 
 import pytest
@@ -32,6 +35,37 @@ def test_search_equals_brute_force(run):
         leaks.Patterns([], 1)
 
 
+def test_long_runs_and_common_endings():
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(900)}" for _ in range(4000)]
+    items = [(0, words[100:500]), (1, words[300:301] * 300), (2, [f"x{i}" for i in range(50)])]
+    for run in (270, 300):
+        patterns = leaks.Patterns(items, run)
+        for text in (words, words[:99] + words[120 : 120 + run], words[1:90] * 20, words[300:301] * 400):
+            assert patterns.search(text) == brute(text, items, run)
+    # Many items with the same two last words: a bucket holds equal stretches only.
+    ends = [(i, [f"a{i}", f"b{i}", *["and", "so"] * 8]) for i in range(3000)]
+    patterns = leaks.Patterns(ends, 12)
+    assert patterns.search(["a7", "b7", *["and", "so"] * 5]) == {7}
+    assert patterns.search(["and", "so"] * 6) == set(range(3000))
+    assert len(patterns.stretch) == 3000 * 7
+
+
+def test_tables_stay_small():
+    """100,000 items of some 33 words: about 3.3 million words, which is what one pass takes."""
+    rng = random.Random(2)
+    vocabulary = [f"{rng.randrange(1 << 40):x}" for _ in range(60_000)]
+    items = [(i, [vocabulary[int(rng.random() ** 2 * 60_000)] for _ in range(33)]) for i in range(100_000)]
+    tracemalloc.start()
+    patterns = leaks.Patterns(items, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 << 20
+    for i in rng.sample(range(100_000), 200):
+        at = rng.randrange(22)
+        assert i in patterns.search([*vocabulary[:9], *items[i][1][at : at + 12], *vocabulary[9:19]])
+
+
 ITEM = "Welcher Kessel trägt den grünen Kahn wenn die Müllerin von Fikelvek ihren Riegel über 1439 Brücken führt"
 PART = " ".join(ITEM.split()[2:15])
 SHORT = " ".join(ITEM.split()[2:13])
@@ -85,6 +119,11 @@ def test_mails(spark):
     for chars in (10**6, 60):
         got = leaks.leaks(d, "id", "text", i, "item_id", "item_text", block_chars=chars).collect()
         assert sorted((r.id or "", r.item_id) for r in got) == sorted((n or "", 1) for n in [*HOLDS, None, "long"])
+    small = i.withColumn("item_id", F.col("item_id").cast("int")).where("item_id = 1")
+    assert {r.item_id for r in leaks.leaks(d, "id", "text", small, "item_id", "item_text").collect()} == {1}
+    other = i.where("item_id = 1").withColumn("item_id", F.lit("2025-01-01").cast("date"))
+    assert leaks.leaks(d, "id", "text", other, "item_id", "item_text").schema["item_id"].dataType.simpleString() == "date"
+    assert leaks.leaks(d, "id", "text", other, "item_id", "item_text").count() == len(HOLDS) + 2
     assert leaks.leaks(d, "id", "text", i.limit(0), "item_id", "item_text").count() == 0
     assert leaks.leaks(d.limit(0), "id", "text", i, "item_id", "item_text").count() == 0
     plain = leaks.leaks(d.where(F.col("id") == "base64"), "id", "text", i, "item_id", "item_text", texts_of=lambda t: [t])
@@ -125,6 +164,27 @@ def test_words():
     assert mail_text.words("été") == mail_text.words("été") == ["été"]
 
 
+def standard_parts(mail):
+    """The texts of a mail as the standard library's parser sees them."""
+    parsed = email.message_from_bytes(mail.encode("utf-8", "surrogatepass"))
+    for part in parsed.walk():
+        if part.get_content_maintype() == "text":
+            text = part.get_payload(decode=True).decode(part.get_content_charset() or "utf-8", "replace")
+            yield re.sub(r"<[^<>]*>", " ", text) if part.get_content_subtype() == "html" else text
+
+
+def test_what_the_standard_parser_shows_is_found(spark, sf):
+    """Leaks in the texts that another parser gets out of the mails are among ours."""
+    d, i = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet")
+    items = [(r.item_id, mail_text.words(r.item_text)) for r in i.collect()]
+    want = set()
+    for r in d.collect():
+        for part in standard_parts(r.text or ""):
+            want |= {(r.doc_id, items[n][0]) for n in brute(mail_text.words(part), items, 12)}
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "item_text").collect()}
+    assert want <= got and len(want) > len(got) / 2
+
+
 def test_planted_runs_are_found(spark, sf):
     """Every run of the items that a plain search for the decoded texts finds, in all test mails."""
     d, i = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -18,7 +19,7 @@ FILES = "manifest_no bigint, db_name string, file_id bigint, file_size_ bigint,
 
 
 def voted(records, half_life):
-    """{key: value} by the rule: votes halve with age; then rank; then the larger value as text."""
+    """{key: value} by the rule, in exact fractions: votes halve with age; then rank; then the larger value as text."""
     groups = {}
     for key, ident, value, trust, age, rank in records:
         if key is not None:
@@ -32,7 +33,8 @@ def voted(records, half_life):
         for rank, value, trust, age in copies.values():
             if value is not None:
                 n, r = tally.get(value, (0, -1))
-                tally[value] = (n + trust * ((1 << 20) >> min(max(age // half_life, 0), 20)), max(r, rank))
+                whole, rest = divmod(max(age, 0), half_life)
+                tally[value] = (n + Fraction(trust * round(2 ** (20 - rest / half_life)), 1 << (20 + whole)), max(r, rank))
         winner = max(tally, key=lambda v: (*tally[v], str(v))) if tally else None
         out[key] = (winner, len(copies) > 1)
     return out
@@ -53,6 +55,26 @@ def test_votes_equal_the_model(spark, seed):
     assert survivors.survivors(df.limit(0), {"k": F.col("k")}, F.col("i"), [field], [F.col("r")]).count() == 0
 
 
+def test_votes_of_any_age_still_count(spark):
+    """Old votes decide as young ones do: by trust and by their differences in age, thousands of half-lives ago too."""
+    records = []
+    for key, age in (("young", 0), ("old", 21 * 7), ("older", 60 * 7), ("ancient", 3000 * 7)):
+        # Two newer copies of value 1 outweigh three of value 2 that are a half-life older; by rank value 2 would win.
+        records += [(key, i, 1, 1, age, 1) for i in range(2)] + [(key, 10 + i, 2, 1, age + 7, 5) for i in range(3)]
+    records += [("trusted", 1, 1, 3, 5000, 1), ("trusted", 2, 2, 2, 5000, 9), ("even", 1, 1, 2, 7, 1), ("even", 2, 2, 1, 0, 0), ("part", 1, 1, 1, 3, 1), ("part", 2, 2, 1, 4, 9)]
+    df = spark.createDataFrame(records, "k string, i bigint, v bigint, t int, age int, r bigint")
+    out = survivors.survivors(df, {"k": F.col("k")}, F.col("i"), [survivors.Field("v", F.col("v"), F.col("t"))], [F.col("r")], F.col("age"), 7)
+    got = {r.k: r.v for r in out.collect()}
+    assert got == {**{r[0]: r[1] for r in voted(records, 7).items() for r in [(r[0], r[1][0])]}} == {"young": 1, "old": 1, "older": 1, "ancient": 1, "trusted": 1, "even": 1, "part": 1}
+
+
+def test_votes_overrule_the_rank(spark, sf):
+    from siltbed.llm import queries_records
+
+    told = queries_records.p1_overruled(spark, sf).agg(F.sum("keys"), F.sum("overruled")).first()
+    assert 0 < told[1] < told[0]
+
+
 def test_fields_are_decided_apart_and_keep_their_types(spark):
     data = [("k", 1, b"\x00\xff", None, None), ("k", 2, None, dt.date(2025, 1, 2), 5), ("k", None, b"z", None, None), ("one", 3, None, None, None), ("one", 3, None, None, None)]
     df = spark.createDataFrame(data, "k string, i bigint, b binary, d date, t int")
