@@ -9,6 +9,10 @@ from siltbed.llm import leaks, packing, sentences
 from siltbed.sources.storage import tables
 
 
+#: Commands that the mails of this archive speak of, written small where a sentence begins too.
+COMMANDS = ("iostat", "vmstat", "netstat", "mpstat", "pidstat", "dstat", "sar", "lsof", "strace", "perf", "top", "htop", "grep", "awk", "sed", "curl", "wget", "rsync", "ssh", "fsck", "mount")
+
+
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(tables(spark, sf)("documents"))
 
@@ -38,17 +42,17 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences.sentence_units(tables(spark, sf)("documents"), with_text=False)
+    return sentences.sentence_units(tables(spark, sf)("documents"), with_text=False, names=COMMANDS)
 
 
 def p8_units(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences.sentence_units(tables(spark, sf)("documents"))
+    return sentences.sentence_units(tables(spark, sf)("documents"), names=COMMANDS)
 
 
 def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
     """What must hold of the units: they lie in their document, don't overlap, aren't empty, have no white space at either end, and are what the text has there."""
     d = tables(spark, sf)("documents")
-    units = sentences.sentence_units(d)
+    units = sentences.sentence_units(d, names=COMMANDS)
     above = F.lag("end_at").over(Window.partitionBy("doc_id").orderBy("start_at", "end_at"))
     joined = units.withColumn("above", above).join(d.select("doc_id", "text", "n_chars"), "doc_id")
     told = F.substr("text", (F.col("start_at") + 1).cast("int"), (F.col("end_at") - F.col("start_at")).cast("int"))

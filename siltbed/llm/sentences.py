@@ -3,14 +3,17 @@
 Within the prose of a document, full stops that end no sentence (decimals, hosts, file
 names, initials, abbreviations, ordinals) are masked with private-use placeholders, marks
 inside quotations are tagged, paragraphs and then sentences are cut off with a separator
-at the terminators of their script, and the placeholders are turned back. Every step keeps
-the text but for characters of its own, so the lengths of the pieces, added up over a
-document, are places in it.
+at the terminators of their script, and the placeholders are turned back. A placeholder
+takes the place of one character, so the lengths of the pieces, added up over a document,
+are places in it. All of it happens in the row where the text lies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import cache
+
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters of our own; if a text has them, they become U+FFFD in the units (places stay).
@@ -19,8 +22,9 @@ DOT, ASK = "\ue0f3", "\ue0f4"
 OPEN, SHUT = "\ue0f5", "\ue0f6"  # straight double quotes, paired
 LOW_SHUT = "\ue0f7"  # the closing mark of a quotation opened low
 BACK_OPEN, BACK_SHUT = "\ue0f8", "\ue0f9"  # guillemets that point inwards
-_OWN = "\ue0f0-\ue0f9"
-_MASKS = {DOT: ".", ASK: "?", OPEN: '"', SHUT: '"', LOW_SHUT: "“", BACK_OPEN: "»", BACK_SHUT: "«"}
+GREEK_ASK = "\ue0fa"  # a semicolon behind a Greek word asks
+_OWN = "\ue0f0-\ue0fa"
+_MASKS = {DOT: ".", ASK: "?", OPEN: '"', SHUT: '"', LOW_SHUT: "“", BACK_OPEN: "»", BACK_SHUT: "«", GREEK_ASK: ";"}
 
 # Abbreviations that stand before what they belong to and so never end a sentence.
 LEADING = {
@@ -46,17 +50,32 @@ CLOSED_TRAILING = "a.m p.m A.M P.M т.д т.п o.ä"
 # Words after which a small number with a stop is an ordinal, and months in full.
 BEFORE_ORDINAL = "am Am vom Vom zum Zum bis Bis der Der dem Dem den Den des Des die Die das Das im Im beim Beim ab Ab seit Seit jeder jedem jeden"
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jan Feb Mär Apr Jun Jul Aug Sep Sept Okt Nov Dez"
-# Names of tools, which begin a sentence without a capital.
-SMALL_STARTERS = "iostat vmstat netstat mpstat pidstat dstat sar lsof strace perf top htop grep awk sed curl wget rsync ssh fsck mount"
 # What follows the name of a company.
 COMPANIES = "Inc Ltd Corp Co LLC GmbH AG SA SARL"
 # Polite particles that close a Thai sentence before a space.
 THAI_PARTICLES = "ครับ ค่ะ คะ"
 
 _L = r"[\p{L}\p{N}\p{M}]"
-_LATIN_END, _WIDE_END = ".?!؟۔।॥‼⁇⁈⁉", "。！？｡"
+# Terminators that end a sentence only before white space, a capital or the end of the text.
+_LATIN_END = ".?!؟۔।॥‼⁇⁈⁉" + GREEK_ASK
+# Terminators that Unicode doesn't list as such, and one that it lists but that separates clauses.
+_ALSO_END, _NOT_END = "།༎\u037e", "၊"
+
+
+@cache
+def _script_ends() -> str:
+    """All other characters with the property of a sentence's terminator; they end one wherever they stand."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    return "".join(c for c in regex.findall(r"\p{Sentence_Break=STerm}", every) + [*_ALSO_END, "｡"] if c not in _LATIN_END + _NOT_END)
+
+
+def _class(characters: str) -> str:
+    """A character class of terminators that dismisses letters and blanks at once."""
+    return r"[\p{Po}&&[" + characters + "]]"
+
+
 _CLOSERS = "\\)\\]}”’'»›" + SHUT + LOW_SHUT + BACK_SHUT
-_WIDE_CLOSERS = "」』）】》〉〕”’)"
+_WIDE_CLOSERS = "」』）】》〉〕”’)»" + SHUT
 _WHITE = " \t\r\n\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _GAP = r"[\s\x{a0}\x{202f}\x{3000}]"
 
@@ -84,14 +103,25 @@ def _words(*lists: str) -> list[str]:
     return [w for text in lists for w in text.split()]
 
 
-#: A sentence may begin small: with a tool's name, a file or host (with a masked stop in it), a company's name, a point of a list.
-_SMALL_START = r"(?:(?:" + "|".join(SMALL_STARTERS.split()) + r")(?!" + _L + r")|[\p{L}\p{N}_-]++(?:" + DOT + r"\p{L}|" + _GAP + r"(?:" + "|".join(COMPANIES.split()) + r")(?!" + _L + r"))|\p{Ll}\))"
-#: What begins a sentence after white space: a capital, a letter of a script without case, an opening mark.
-_BEGINS = r"(?:[¿¡«„“(\[" + OPEN + BACK_OPEN + r"]*[\p{Lu}\p{Lt}\p{Lo}]|" + _SMALL_START + r")"
-_AFTER_QUOTE = r"(?:[¿¡«„“(\[" + OPEN + BACK_OPEN + r"]|\p{Lu}|" + _SMALL_START + r")"
+def _starting(names: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(names) + r")(?!" + _L + r")|" if names else ""
+
+
+def _small_start(names: tuple[str, ...]) -> str:
+    """A sentence may begin small: with one of these names, a file or host (with a masked stop in it), a company's name, a point of a list."""
+    return r"(?:" + _starting(names) + r"[\p{L}\p{N}_-]++(?:" + DOT + r"\p{L}|" + _GAP + r"(?:" + "|".join(COMPANIES.split()) + r")(?!" + _L + r"))|\p{Ll}\))"
+
+
+def _after_quote(names: tuple[str, ...]) -> str:
+    return r"(?:[¿¡«„“(\[" + OPEN + BACK_OPEN + r"]|\p{Lu}|" + _small_start(names) + r")"
+
+
+def _inner_stop(names: tuple[str, ...]) -> str:
+    """A stop within a word, number, host or file name, or before a number; not one where the blank behind a sentence was lost."""
+    named = "|(?:" + "|".join(names) + r")" + _GAP if names else ""
+    return r"\.(?=[\p{L}\p{N}])(?!(?<=[\p{Ll}\p{M}]{2}\.|\p{N}\.)(?:\p{Lu}" + named + r"))"
+
 
-#: A stop within a word, number, host or file name, or before a number; not one where the blank behind a sentence was lost.
-_INNER_STOP = r"\.(?=[\p{L}\p{N}])(?!(?<=[\p{Ll}\p{M}]{2}\.|\p{N}\.)(?:\p{Lu}|(?:" + "|".join(SMALL_STARTERS.split()) + r")" + _GAP + r"))"
 _INNER_ASK = r"\?(?=[\p{L}\p{N}_%-]++=)"
 
 
@@ -100,12 +130,16 @@ def _last_letters(forms: list[str]) -> str:
     return "(?:" + "|".join(f"{f[-1]}(?<=(?<!{_L}){_any([f])})" for f in forms) + ")"
 
 
-def _abbreviations() -> str:
-    """A stop after an abbreviation, initial or ordinal that doesn't end the sentence; the text before it is group 1."""
-    start = r"(?<!" + _L + r"|[" + DOT + r"'’])"
+def _abbreviations(names: tuple[str, ...]) -> str:
+    """A stop after an abbreviation, initial or ordinal that doesn't end the sentence.
+
+    Sought from the stop backwards, so that only what stands before a stop is compared.
+    """
+    small = _small_start(names)
+    start = r"(?<![\p{L}\p{N}\p{M}" + DOT + r"'’])"
     follows = _GAP + r"+"
     leading = _any(_words(*LEADING.values(), CLOSED_LEADING))
-    goes_on = r"(?=\.[)\]]*(?:[,;:]|" + follows + r"(?!" + _SMALL_START + r")[(\[]?\p{Ll}))"
+    goes_on = r"(?=\.[)\]]*(?:[,;:]|" + follows + r"(?!" + small + r")[(\[]?\p{Ll}))"
     stop = rf"[.{DOT}]"
     branches = [
         # Letters with spaces between, and initials: but for a unit after a number, a letter before another with a stop.
@@ -118,15 +152,14 @@ def _abbreviations() -> str:
         # A time of day that opens a sentence goes on with its subject.
         r"(?:[ap]" + DOT + r")?m(?<=(?<!" + _L + r")At" + _GAP + r"{1,2}\d{1,2}[:.]\d{2}" + _GAP + r"{1,2}[ap]" + stop + r"\s{0,2}m)(?=\.\s)",
         "(?:" + _any(_words(TRAILING, CLOSED_TRAILING)) + "|" + _last_letters(SPACED_TRAILING) + ")" + goes_on,
-        _any(_words(DAYS_AND_MONTHS)) + r"(?=\.(?:[,;:)]|" + follows + r"(?!" + _SMALL_START + r")[(]?[\p{Ll}\p{N}]))",
+        _any(_words(DAYS_AND_MONTHS)) + r"(?=\.(?:[,;:)]|" + follows + r"(?!" + small + r")[(]?[\p{Ll}\p{N}]))",
         # A one-letter title in a script without case; a year with its letter.
         r"[\p{IsArabic}](?=\." + follows + r")",
         r"г(?<=\d" + _GAP + r"{0,2}г)(?=\." + follows + r")",
         r"\d{1,2}(?<=(?<!" + _L + r")(?:" + "|".join(BEFORE_ORDINAL.split()) + r")" + _GAP + r"{1,2}\d{1,2})(?=\." + follows + r"\p{L})",
         r"\d{1,2}(?=\." + follows + r"(?:" + "|".join(MONTHS.split()) + r")(?!" + _L + r"))",
     ]
-    # A word is only looked at if a stop is right behind it.
-    return start + r"(?=[^\s.,;:!?()\[\]]{1,12}+\.)(" + "|".join(branches) + r")\."
+    return r"\.(?<=" + start + "(?:" + "|".join(branches) + r")\.)"
 
 
 # The parts of a mail
@@ -136,25 +169,41 @@ def _of(head: Column, field: str, value: str) -> Column:
     return F.lower(F.regexp_extract(head, r"(?im)^" + field + r":[ \t]*(?:\r?\n[ \t]+)?" + value, 1))
 
 
+def _with_begins(rows: DataFrame, lengths: str, name: str, block: int = 256) -> DataFrame:
+    """``rows`` with ``name``: for each element of the array ``lengths`` the sum of those before it.
+
+    Sums of blocks are added up first, so that the work is in proportion to the number of
+    elements for up to some ten thousands, and doesn't get out of hand beyond. Each step is
+    a column of its own, as an expression within a lambda is computed for every element.
+    """
+    add = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda t, n: t + n)
+    last = F.floor((F.size(lengths) - 1) / block).cast("int")
+    sums = F.when(F.size(lengths) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: add(F.slice(lengths, b * block + 1, F.lit(block)))))
+    summed = rows.withColumn("__sums", sums).withColumn("__bases", F.transform("__sums", lambda _, b: add(F.slice("__sums", F.lit(1), b))))
+    begin = F.transform(lengths, lambda _, i: F.get("__bases", F.floor(i / block).cast("int")) + add(F.slice(lengths, i - i % block + 1, i % block)))
+    return summed.withColumn(name, begin).drop("__sums", "__bases")
+
+
 def mail_parts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, doc_id, part, length, before, prose): the parts of every mail in order.
+    """(doc_id, at, prose): the parts of every mail.
 
     A part is what lies between two boundary lines (those of all multiparts that a
-    multipart mail declares). ``prose`` is the body of a part that is text/plain (or says nothing), not
-    base64 or quoted-printable and not an attachment, up to its signature or an appended
-    original; it is NULL for other parts. ``before`` is where it begins in the part.
+    multipart mail declares). ``prose`` is the body of a part that is text/plain (or says
+    nothing), not base64 or quoted-printable and not an attachment, up to its signature or
+    an appended original, and NULL for other parts. ``at`` is where it begins in the mail.
     """
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").isNotNull())
-    names = F.regexp_extract_all("text", F.lit(r"(?i)boundary[ \t]*=[ \t]*\"?([^\"\s;]+)"), F.lit(1))
-    quoted = F.concat_ws("|", F.transform(F.array_distinct(names), lambda b: F.concat(F.lit("\\Q"), F.replace(b, F.lit("\\E"), F.lit("")), F.lit("\\E"))))
+    rows = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").isNotNull())
     # Only a mail whose header says multipart is searched for boundaries.
     header = F.substring_index(F.substring_index("text", "\n\n", 1), "\r\n\r\n", 1)
+    names = F.regexp_extract_all("text", F.lit(r"(?i)boundary[ \t]*=[ \t]*\"?([^\"\s;]+)"), F.lit(1))
+    quoted = F.concat_ws("|", F.transform(F.array_distinct(names), lambda b: F.concat(F.lit("\\Q"), F.replace(b, F.lit("\\E"), F.lit("")), F.lit("\\E"))))
     rows = rows.withColumn("names", F.when(header.rlike(r"(?im)^content-type:[ \t]*(?:\r?\n[ \t]+)?multipart/"), quoted))
     fence = F.concat(F.lit("(?m)(?=^--(?:"), F.col("names"), F.lit(r")(?:--)?[ \t]*\r?$)"))
-    parts = F.when(F.length("names") > 0, F.split("text", fence)).otherwise(F.array("text"))
-    part = rows.select("row", "doc_id", "names", F.posexplode(parts).alias("part", "piece"))
+    rows = rows.withColumn("parts", F.when(F.length("names") > 0, F.split("text", fence)).otherwise(F.array("text"))).drop("text")
+    rows = rows.withColumn("lengths", F.transform("parts", lambda p: F.length(p).cast("bigint")))
+    part = _with_begins(rows, "lengths", "begins").select("doc_id", "names", F.posexplode(F.arrays_zip("parts", "begins")).alias("part", "p")).select("doc_id", "names", "part", F.col("p.parts").alias("piece"), F.col("p.begins").alias("begin"))
     halves = part.withColumn("halves", F.split("piece", r"\r?\n[ \t]*\r?\n", 2))
-    head, body = F.col("halves")[0], F.when(F.size("halves") > 1, F.col("halves")[1])
+    head, body = F.get("halves", F.lit(0)), F.get("halves", F.lit(1))
     media = _of(head, "content-type", r"([^;\s]*)")
     encoded = _of(head, "content-transfer-encoding", r"([^;\s]*)").isin("base64", "quoted-printable")
     attached = _of(head, "content-disposition", r"([^;\s]*)") == "attachment"
@@ -162,7 +211,7 @@ def mail_parts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     # The first piece of a multipart is its header and preamble: its own type says multipart.
     wanted = media.isin("text/plain", "") & ~encoded & ~attached & ~closing
     prose = F.split(body, r"(?m)^(?:-- |_{5,}[ \t]*|-----Original Message-----[ \t]*)\r?$", 2)[0]
-    return halves.select("row", "doc_id", "part", F.length("piece").alias("length"), (F.length("piece") - F.length(body)).alias("before"), F.when(wanted, prose).alias("prose"))
+    return halves.select("doc_id", (F.col("begin") + F.length("piece") - F.length(body)).alias("at"), F.when(wanted, prose).alias("prose"))
 
 
 # Units
@@ -184,45 +233,62 @@ def paragraphs_marked(prose: Column) -> Column:
     quoted = r"(?:[^\n]*:[ \t]*\r?\n(?=>))?>[^\n]*(?:\n|\z)"
     between = r"(?m)(?:^(?:" + quoted + r"| {4}[^\n]*(?:\n|\z)|[ \t 　\r]*\n))++"
     cut = _replace(clean, between, f"{SEP}{SKIP}$0{SEP}")
-    return _replace(cut, rf"(?=[-*\d])((?:\A|(?<={SEP}|:\n|:\r\n)|\G(?<!\A))\d{{1,3}}\. |(?:\A|(?<=[\n{SEP}]))[-*] )([^\n{SEP}]*\n?)", f"{SEP}{SKIP}$1{SEP}$2{SEP}")
+    return _replace(cut, rf"(?=[-*\d])((?:\A|(?<={SEP}|:\n|:\r\n)|\G(?<!\A))\d++\. |(?:\A|(?<=[\n{SEP}]))[-*] )([^\n{SEP}]*\n?)", f"{SEP}{SKIP}$1{SEP}$2{SEP}")
 
 
-def sentences_marked(paragraph: Column) -> Column:
-    """The paragraph with a SEP behind each of its sentences, and masks and tags still in it."""
+@cache
+def _rules(names: tuple[str, ...]) -> tuple[list[tuple[str, str]], tuple[str, list[tuple[str, str]]], str]:
+    """(masks, (what a quotation needs, marks of quotations), boundary) as patterns with their replacements."""
     shut = rf"[”»」』{SHUT}{LOW_SHUT}{BACK_SHUT}]"
     opening = rf"“„«「『{OPEN}{BACK_OPEN}"
     marks = rf"“”„«»「」『』{OPEN}{SHUT}{LOW_SHUT}{BACK_OPEN}{BACK_SHUT}"
-    ending = f"{_LATIN_END}{_WIDE_END}…"
-    steps = [
-        (_INNER_STOP, DOT),
+    script = _class(_script_ends())
+    ending = f"[{_class(_LATIN_END + _script_ends() + '…')}{GREEK_ASK}]"
+    latin = f"[{_LATIN_END}]"
+    small = _small_start(names)
+    masks = [
+        (_inner_stop(names), DOT),
         (_INNER_ASK, ASK),
-        (_abbreviations(), f"$1{DOT}"),
+        (rf";(?<=\p{{IsGreek}}\p{{M}}{{0,2}};)(?={_GAP}|[{_CLOSERS}]|\z)", GREEK_ASK),
+        (_abbreviations(names), DOT),
+    ]
+    quotations = [
         (r'"([^"]++)"', f"{OPEN}$1{SHUT}"),
         (r"(„[^„“”]++)“", f"$1{LOW_SHUT}"),
         (r"»(?<=(?:\A|[\s(])»)(?=\S)([^»«]++)(?<=\S)«", f"{BACK_OPEN}$1{BACK_SHUT}"),
         # Each ending from an opening mark to the next mark, if that is a closing one.
-        (rf"(?:[{opening}](?=[^{marks}]*+{shut})|\G(?!\A))[^{marks}{ending}]*+[{ending}]", f"$0{TAG}"),
+        (rf"(?:[{opening}](?=[^{marks}]*+{shut})|\G(?!\A))[^{marks}{ending}]*+{ending}", f"$0{TAG}"),
     ]
-    text = paragraph
-    for pattern, by in steps:
-        text = _replace(text, pattern, by)
+    named = f"|(?:{'|'.join(names)}){_GAP}" if names else ""
     ends = [
-        rf"(?<![{_LATIN_END}])(?!\.{{2,}}{_GAP}++(?!{_SMALL_START})\p{{Ll}})[{_LATIN_END}]++(?!{TAG})[{_CLOSERS}]*+(?={_GAP}|\z|[\p{{Lu}}¿¡]|(?:{'|'.join(SMALL_STARTERS.split())}){_GAP})",
+        rf"(?<!{latin})(?!\.{{2,}}{_GAP}++(?!{small})\p{{Ll}}){latin}++(?!{TAG})[{_CLOSERS}]*+(?={_GAP}|\z|[\p{{Lu}}¿¡]{named})",
         rf"…++(?!{TAG})[{_CLOSERS}]*+(?={_GAP}++[\p{{Lu}}¿¡«„“{OPEN}])",
-        rf"[{_WIDE_END}]++(?!{TAG})[{_WIDE_CLOSERS}]*+",
-        rf"[{_LATIN_END}…]{TAG}{_GAP}?[”»{SHUT}{LOW_SHUT}{BACK_SHUT}][)\]]*+(?={_GAP}++{_AFTER_QUOTE}|\p{{Lu}})",
-        rf"(?:{'|'.join(THAI_PARTICLES.split())})(?={_GAP})",
+        rf"{script}++(?!{TAG})[{_WIDE_CLOSERS}]*+",
+        rf"{ending}{TAG}{_GAP}?[”»{SHUT}{LOW_SHUT}{BACK_SHUT}][)\]]*+(?={_GAP}++{_after_quote(names)}|\p{{Lu}})",
     ]
-    begins = f"{ending}{''.join(sorted({w[0] for w in THAI_PARTICLES.split()}))}"
-    return _replace(text, rf"(?=[{begins}])(?:{'|'.join(ends)})", f"$0{SEP}")
+    thai = rf"(?:{'|'.join(THAI_PARTICLES.split())})(?={_GAP})"
+    return masks, (r'["„“«»「『]', quotations), rf"(?![a-z ])(?:(?={ending})(?:{'|'.join(ends)})|{thai})"
+
+
+def sentences_marked(paragraph: Column, names: tuple[str, ...] = ()) -> Column:
+    """The paragraph with a SEP behind each of its sentences, and masks still in it; as long as it was but for the SEPs."""
+    masks, (needed, quotations), boundary = _rules(names)
+    text = paragraph
+    for pattern, by in masks:
+        text = _replace(text, pattern, by)
+    told = text
+    for pattern, by in quotations:
+        told = _replace(told, pattern, by)
+    text = F.when(paragraph.rlike(needed), told).otherwise(text)
+    return F.replace(_replace(text, boundary, f"$0{SEP}"), F.lit(TAG), F.lit(""))
 
 
 def unmask(piece: Column) -> Column:
     """The text that a piece stands for."""
-    return F.translate(piece, "".join(_MASKS) + SEP + SKIP + TAG, "".join(_MASKS.values()))
+    return F.translate(piece, "".join(_MASKS), "".join(_MASKS.values()))
 
 
-def sentence_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def sentence_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, names: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, start_at, end_at[, sentence]) of every sentence unit in the prose of every document.
 
     Places count code points from 0; ``end_at`` is the first behind the unit; a unit has no
@@ -230,34 +296,21 @@ def sentence_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     unit. Every row is a document: repeated rows give repeated units, and a NULL id is
     kept. Other columns are dropped, whatever their names.
 
-    All work on texts is done where they lie; what is shuffled to add up the places is the
-    lengths of the pieces (and their texts, if asked for), by row, so no key can be hot.
+    ``names`` are names that are written small and may begin a sentence nevertheless, as
+    those of commands do; without them a small letter begins one only in the names of files,
+    hosts and companies.
+
+    Nothing is shuffled: texts are cut, and places added up, in the row where the text lies.
     """
     parts = mail_parts(documents, doc_id, text)
-    blocks = parts.select("row", "doc_id", "part", "length", F.coalesce("before", F.lit(0)).alias("before"), F.posexplode_outer(F.split(paragraphs_marked(F.col("prose")), SEP)).alias("block", "text"))
-    skipped = F.col("text").startswith(SKIP)
-    pieces = blocks.select("row", "doc_id", "part", "length", "before", "block", F.posexplode_outer(F.when(skipped, F.array("text")).otherwise(F.split(sentences_marked(F.col("text")), SEP))).alias("at", "piece"))
-    plain = unmask(F.col("piece"))
-    trimmed = F.rtrim(plain, F.lit(_WHITE))
-    wanted = F.coalesce(~F.col("piece").startswith(SKIP), F.lit(False))
-    at = F.struct(F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("at", F.lit(0)).alias("at"))
-    sized = pieces.select(
-        "row",
-        "doc_id",
-        "part",
-        at.alias("at"),
-        F.when((F.coalesce("block", F.lit(0)) == 0) & (F.coalesce("at", F.lit(0)) == 0), F.col("length")).otherwise(0).alias("length"),
-        "before",
-        F.coalesce(F.length(plain), F.lit(0)).alias("n"),
-        F.when(wanted, F.length(plain) - F.length(F.ltrim(plain, F.lit(_WHITE)))).alias("lead"),
-        F.when(wanted, F.length(trimmed)).alias("upto"),
-        *([F.when(wanted, F.trim(plain, F.lit(_WHITE))).alias("sentence")] if with_text else []),
-    )
-    sized = sized.where((F.col("n") > 0) | (F.col("length") > 0))
-    by_row = Window.partitionBy("row").orderBy("part", "at")
-    by_part = Window.partitionBy("row", "part").orderBy("at")
-    so_far = F.sum("length").over(by_row) - F.first("length").over(by_part)
-    within = F.sum("n").over(by_part) - F.col("n")
-    placed = sized.withColumn("__base", so_far + within + F.col("before"))
-    units = placed.where(F.col("upto") > F.col("lead"))
-    return units.select(F.col("doc_id").alias(doc_id), (F.col("__base") + F.col("lead")).cast("bigint").alias("start_at"), (F.col("__base") + F.col("upto")).cast("bigint").alias("end_at"), *(["sentence"] if with_text else []))
+    blocks = parts.select("doc_id", "at", F.split(paragraphs_marked(F.col("prose")), SEP).alias("blocks"))
+    cut = F.flatten(F.transform("blocks", lambda b: F.when(b.startswith(SKIP) | (b == ""), F.array(b)).otherwise(F.split(sentences_marked(b, names), SEP))))
+    pieces = blocks.select("doc_id", "at", cut.alias("pieces"))
+    # A SKIP isn't in the text.
+    pieces = pieces.withColumn("lengths", F.transform("pieces", lambda p: (F.length(p) - p.startswith(SKIP).cast("int")).cast("bigint")))
+    placed = _with_begins(pieces, "lengths", "begins")
+    units = placed.select("doc_id", "at", F.explode(F.arrays_zip("pieces", "begins")).alias("u")).select("doc_id", F.col("u.pieces").alias("piece"), (F.col("at") + F.col("u.begins")).alias("begin"))
+    units = units.where(~F.col("piece").startswith(SKIP))
+    units = units.withColumns({"upto": F.length(F.rtrim("piece", F.lit(_WHITE))), "lead": F.length("piece") - F.length(F.ltrim("piece", F.lit(_WHITE)))}).where(F.col("upto") > F.col("lead"))
+    told = [unmask(F.trim("piece", F.lit(_WHITE))).alias("sentence")] if with_text else []
+    return units.select(F.col("doc_id").alias(doc_id), (F.col("begin") + F.col("lead")).cast("bigint").alias("start_at"), (F.col("begin") + F.col("upto")).cast("bigint").alias("end_at"), *told)

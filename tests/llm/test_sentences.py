@@ -22,10 +22,19 @@ CASES = {
     "russian": ["См. рис. 5 и табл. 2.", "Сброс занял 79,44 с, т. е. больше.", "«Всё работает!» — сказала Анна.", "В 2019 г. x работал.", "Мы потеряли 44 тыс. записей, журналы и т. д.", "Почему?"],
     "arabic": ["قال د. سمران إن الإصدار 3.5 سليم.", "هل ما زال هنا؟", "أوقف هذا الآن!"],
     "hindi": ["डॉ. राम ने जाँच की।", "उसने 3.5 जीबी लिखे ।", "क्या यह है?"],
+    "armenian": ["Նա տուն գնաց։", "Գրքի 3.5 տարբերակը լավն է։", "Ո՞վ է նա։"],
+    "ethiopic": ["ሰላም ለሁሉም።", "ዋጋው 3.5 ነው።", "ማን ነው፧"],
+    "burmese": ["ကျွန်တော် သွားမည်။", "သူ လာမည်၊ နေမည်။"],
+    "khmer": ["ខ្ញុំទៅផ្សារ។", "គាត់មកផ្ទះ។"],
+    "tibetan": ["ང་འགྲོ་གི་ཡིན།", "ཁོང་ཡོང་གི་རེད།"],
+    "greek": ["Έρχεσαι αύριο;", "Ναι, στις 3.5 ώρες.", "«Πού είσαι;» ρώτησε η Άννα.", "Εδώ· περίμενε!"],
+    "georgian": ["ის წავიდა.", "ვინ არის?"],
     "thai": ["รุ่น 3.5 ไม่มีปัญหานี้ค่ะ", "เหลือไฟล์ 7 ไฟล์ในระดับ 0 ครับ", "ขอบคุณมากครับ"],
 }
 TIGHT = {
     "japanese": ["v4.1では再現しません。", "担当者は「止めてください。後で確認します。」と言いました。", "何ですか！？", "確認中……少しお待ちください。", "本当ですか？"],
+    "khmer without blanks": ["ខ្ញុំទៅផ្សារ។", "គាត់មកផ្ទះ។"],
+    "burmese without blanks": ["ကျွန်တော်သွားမည်။", "သူလာမည်။"],
     "chinese": ["版本4.1没有这个问题。", "他说：“先回滚。以后再问。”然后挂断了电话。", "“真的吗？”他问。", "我们丢了3条记录……但是没有人发现。"],
 }
 
@@ -78,6 +87,24 @@ STRUCTURE = [
 ]
 
 
+def test_names_that_begin_small(spark):
+    text = HEAD + "\nIt ran until 5 p.m. iostat shows 3.4 %, etc. iostat and the rest agree."
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    cut = lambda names: [r.sentence for r in sentences.sentence_units(docs, names=names).orderBy("start_at").collect()]
+    assert cut(()) == [text.split("\n")[-1]]
+    assert cut(("iostat",)) == ["It ran until 5 p.m.", "iostat shows 3.4 %, etc.", "iostat and the rest agree."]
+
+
+def test_long_lists(spark):
+    told = [f"{n}. point {n}" for n in (*range(1, 12), 998, 999, 1000, 1001, 123456)]
+    assert units(spark, [HEAD + "\nDo:\n" + "\n".join(told) + "\n"]) == [["Do:", *[t.split(". ", 1)[1] for t in told]]]
+
+
+def test_terminators_come_from_unicode():
+    ends = sentences._script_ends()
+    assert set("։።။។៕｡。！？᠃꓿꘎") <= set(ends) and not set("၊,;·") & set(ends) and len(ends) > 120
+
+
 def test_structure(spark):
     texts = [t for t, _ in STRUCTURE if _ is not None]
     for (text, want), got in zip([x for x in STRUCTURE if x[1] is not None], units(spark, texts), strict=True):
