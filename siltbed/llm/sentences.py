@@ -169,19 +169,22 @@ def _of(head: Column, field: str, value: str) -> Column:
     return F.lower(F.regexp_extract(head, r"(?im)^" + field + r":[ \t]*(?:\r?\n[ \t]+)?" + value, 1))
 
 
-def _with_begins(rows: DataFrame, lengths: str, name: str, block: int = 256) -> DataFrame:
+def _with_begins(rows: DataFrame, lengths: str, name: str) -> DataFrame:
     """``rows`` with ``name``: for each element of the array ``lengths`` the sum of those before it.
 
-    Sums of blocks are added up first, so that the work is in proportion to the number of
-    elements for up to some ten thousands, and doesn't get out of hand beyond. Each step is
-    a column of its own, as an expression within a lambda is computed for every element.
+    The array is cut into blocks of about the root of its length, and sums of blocks are
+    added up first, so n elements take about n * sqrt(n) steps. What a lambda needs comes
+    as its argument, as an expression within it is computed for every element.
     """
     add = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda t, n: t + n)
-    last = F.floor((F.size(lengths) - 1) / block).cast("int")
-    sums = F.when(F.size(lengths) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: add(F.slice(lengths, b * block + 1, F.lit(block)))))
-    summed = rows.withColumn("__sums", sums).withColumn("__bases", F.transform("__sums", lambda _, b: add(F.slice("__sums", F.lit(1), b))))
-    begin = F.transform(lengths, lambda _, i: F.get("__bases", F.floor(i / block).cast("int")) + add(F.slice(lengths, i - i % block + 1, i % block)))
-    return summed.withColumn(name, begin).drop("__sums", "__bases")
+    block = F.greatest(F.ceil(F.sqrt(F.size(lengths))), F.lit(32)).cast("int")
+    last = F.floor((F.size(lengths) - 1) / F.col("__block")).cast("int")
+    staged = rows.withColumn("__block", block)
+    staged = staged.withColumn("__blocks", F.when(F.size(lengths) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(lengths, b * F.col("__block") + 1, F.col("__block")))))
+    staged = staged.withColumn("__sums", F.transform("__blocks", add))
+    staged = staged.withColumn("__bases", F.transform("__sums", lambda _, b: add(F.slice("__sums", F.lit(1), b))))
+    begin = F.flatten(F.zip_with("__blocks", "__bases", lambda c, base: F.transform(c, lambda _, i: base + add(F.slice(c, F.lit(1), i)))))
+    return staged.withColumn(name, begin).drop("__block", "__blocks", "__sums", "__bases")
 
 
 def mail_parts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
