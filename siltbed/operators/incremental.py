@@ -68,8 +68,11 @@ def record_contents(deliveries: DataFrame, identity: list[str], content: str, re
 
 
 def present_contents(contents: DataFrame, identity: list[str]) -> DataFrame:
-    """Of each record the content that came last; equal times: the larger checksum."""
-    newest = F.max(F.struct("last_at", "checksum", "size")).alias("__newest")
+    """Of each record the content that came last; equal times: the larger checksum.
+
+    It asks for all columns of ``contents``, so that a plan that uses those too shuffles them once for both.
+    """
+    newest = F.max(F.struct("last_at", "checksum", "size", "first_at")).alias("__newest")
     return contents.groupBy(*identity).agg(newest).select(*identity, F.col("__newest.size").alias("size"), F.col("__newest.checksum").alias("checksum"))
 
 
