@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,23 +20,41 @@ USABLE_BYTES = 65_520
 SPLIT_LIMIT, SPLIT_LEVELS = 1000, 5
 
 
-def assign_blocks(records: DataFrame, group: list[str], order: list[Column], size: Column, capacity: int = USABLE_BYTES, start: tuple[int, int] = (0, 0)) -> DataFrame:
+#: Below so many bytes of input, as the planner estimates them, no file can be too much for one task.
+PLAIN_BYTES = 1 << 30
+
+
+def assign_blocks(records: DataFrame, group: list[str], order: list[Column], size: Column, capacity: int = USABLE_BYTES, start: tuple[int, int] = (0, 0), hot_rows: int = 5_000_000, plain_bytes: int = PLAIN_BYTES) -> DataFrame:
     """``records`` with ``block_id`` (from 0) and ``offset`` in the order of their file.
 
     Records are put into the current block while there is room and never straddle two; a
     record larger than a block has one of its own. Files (``group``) are independent; each
-    goes on from ``start``, a block and the bytes used of it. The
-    packing of one file depends on all records before, so a file is walked over by one
-    task, which holds only the block under way.
+    goes on from ``start``, a block and the bytes used of it. ``order`` should be total.
+
+    Files of up to ``hot_rows`` records are walked over by one task each, which holds only
+    the block under way. If one is larger (they are counted, unless the input is small
+    anyway), the records are cut into stretches that all tasks share: each stretch is first
+    reduced to a table of what it does to any state it may begin in, the tables are chained
+    along every file, and then all stretches are walked over side by side.
     """
-    sized = records.withColumn("__size", F.coalesce(size.cast("bigint"), F.lit(0)))
-    keys = [F.col(f"`{g}`") for g in group]
-    laid = sized.repartition(*keys) if keys else sized.coalesce(1)
-    laid = laid.sortWithinPartitions(*keys, *order)
-    file = F.struct(*keys) if keys else F.lit(0)
-    laid = laid.withColumn("__file", F.xxhash64(file))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields], "block_id bigint", "offset bigint"])
+    sized = records.withColumn("__size", F.coalesce(size.cast("bigint"), F.lit(0))).withColumn("__file", F.xxhash64(*[F.col(f"`{g}`") for g in group]) if group else F.lit(0).cast("bigint"))
     keep = len(records.columns)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields], "block_id bigint", "offset bigint"])
+    estimate = int(str(records._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate < plain_bytes or sized.groupBy("__file").count().where(F.col("count") > hot_rows).isEmpty():
+        laid = sized.withColumns({"__block": F.lit(start[0]).cast("bigint"), "__used": F.lit(start[1]).cast("bigint")})
+        laid = (laid.repartition("__file") if group else laid.coalesce(1)).sortWithinPartitions("__file", *order)
+        return laid.mapInArrow(_walker(keep, capacity), schema)
+    at = placed(sized, [F.col("__file").asc(), *order])
+    stretch = at.select("__file", "__task", "__row", "__size").repartition("__task").sortWithinPartitions("__task", "__row")
+    tables = stretch.mapInArrow(_tabulate(capacity), _TABLE).repartition("__file").sortWithinPartitions("__file", "__task")
+    begins = cut(tables.mapInArrow(_chain(capacity, start), "__file bigint, __task int, __block bigint, __used bigint"))
+    joined = join_small(at, begins, ["__file", "__task"], "inner").repartition("__task").sortWithinPartitions("__task", "__row")
+    return joined.select(*[F.col(f"`{c}`") for c in records.columns], "__size", F.xxhash64("__file", "__task").alias("__file"), "__block", "__used").mapInArrow(_walker(keep, capacity), schema)
+
+
+def _walker(keep: int, capacity: int):
+    """Blocks and offsets of records that come in order; those of one stretch say where it begins."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, block, used = None, 0, 0
@@ -50,7 +69,7 @@ def assign_blocks(records: DataFrame, group: list[str], order: list[Column], siz
             at = 0
             for border in borders:
                 if files[at] != current:
-                    current, (block, used) = files[at], start
+                    current, block, used = files[at], batch.column(keep + 2)[at].as_py(), batch.column(keep + 3)[at].as_py()
                 while at < border:
                     base = int(ends[at] - sizes[at])
                     fits = min(int(np.searchsorted(ends, base + capacity - used, side="right")), border)
@@ -65,7 +84,75 @@ def assign_blocks(records: DataFrame, group: list[str], order: list[Column], siz
                     at = fits
             yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(blocks), pa.array(offsets)], names=[*batch.schema.names[:keep], "block_id", "offset"])
 
-    return laid.mapInArrow(walk, schema)
+    return walk
+
+
+#: A stretch from the state "used bytes": with room for fewer than ``upto[i]`` bytes it breaks first at record i, and then
+#: begins ``blocks[i]`` blocks in all and leaves ``ends[i]`` bytes used; the ``fresh`` ones are for a block not begun.
+_TABLE = "__file bigint, __task int, total bigint, fresh_blocks bigint, fresh_end bigint, upto array<bigint>, blocks array<bigint>, ends array<bigint>"
+
+
+def _tabulate(capacity: int):
+    def table(file: int, task: int, sizes: np.ndarray) -> tuple:
+        n, ends = len(sizes), np.cumsum(sizes)
+        # Where the block that begins with a record breaks: the record itself always fits.
+        following = np.maximum(np.searchsorted(ends, ends - sizes + capacity, side="right"), np.arange(n) + 1)
+        blocks, left = np.ones(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        blocks[n] = 0
+        jumps = following.tolist()
+        for i in range(n - 1, -1, -1):
+            j = jumps[i]
+            blocks[i] = 1 + blocks[j]
+            left[i] = left[j] if j < n else ends[-1] - ends[i] + sizes[i]
+        first = np.flatnonzero(ends <= capacity)[-1:] + 1
+        last = int(first[0]) if len(first) else 0
+        picked = np.arange(min(last + 1, n))
+        return file, task, int(ends[-1]), int(blocks[0]) - 1, int(left[0]), ends[picked].tolist(), blocks[picked].tolist(), left[picked].tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sizes, out = None, [], []
+
+        def flush() -> None:
+            if current is not None:
+                out.append(table(*current, np.concatenate(sizes)))
+
+        for batch in batches:
+            file, task = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            borders = [0, *(np.flatnonzero((np.diff(file) != 0) | (np.diff(task) != 0)) + 1).tolist(), len(file)] if len(file) else []
+            for a, b in zip(borders, borders[1:], strict=False):
+                if (int(file[a]), int(task[a])) != current:
+                    flush()
+                    current, sizes = (int(file[a]), int(task[a])), []
+                sizes.append(batch.column(3).to_numpy()[a:b])
+        flush()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+        names = ["__file", "__task", "total", "fresh_blocks", "fresh_end", "upto", "blocks", "ends"]
+        for one in out:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one, kinds, strict=True)], names=names)
+
+    return run
+
+
+def _chain(capacity: int, start: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, block, used = None, 0, 0
+        for batch in batches:
+            begins = []
+            for row in batch.to_pylist():
+                if row["__file"] != current:
+                    current, (block, used) = row["__file"], start
+                begins.append((block, used))
+                if not used:
+                    block, used = block + row["fresh_blocks"], row["fresh_end"]
+                    continue
+                at = bisect_right(row["upto"], capacity - used)
+                if at == len(row["upto"]):
+                    used += row["total"]  # all of it fits
+                else:
+                    block, used = block + row["blocks"][at], row["ends"][at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in zip(*begins, strict=True)]] if begins else [batch.column(0), batch.column(1), pa.array([], pa.int64()), pa.array([], pa.int64())], names=["__file", "__task", "__block", "__used"])
+
+    return run
 
 
 def fixed_blocks(rows: DataFrame, position: Column, per_block: int, blocks_per_file: int) -> DataFrame:
@@ -130,16 +217,15 @@ def contiguous(ranges: DataFrame, low: str, high: str) -> DataFrame:
 def median_split(rows: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
     """Of every group the key at which it is split in two: the one at position n // 2 + 1.
 
-    A single group is ranked by ranges over all tasks; several by a window each.
+    All groups are laid out by ranges of (group, key), so a large one is spread over tasks.
     """
-    order = shortlex_sort(F.col(f"`{key}`"))
-    if not by:
-        at = ranked(rows.select(F.col(f"`{key}`").alias("key")), shortlex_sort(F.col("key")), "position")
-        n = at.agg(F.count(F.lit(1))).scalar()
-        return at.where(F.col("position") == F.floor(n / 2) + 1).select("key", n.alias("records"))
-    w = Window.partitionBy(*by)
-    numbered = rows.withColumn("__r", F.row_number().over(w.orderBy(*order))).withColumn("records", F.count(F.lit(1)).over(w))
-    return numbered.where(F.col("__r") == F.floor(F.col("records") / 2) + 1).select(*by, F.col(f"`{key}`").alias("key"), "records")
+    by = by or []
+    picked = rows.select(*[F.col(f"`{g}`") for g in by], F.col(f"`{key}`").alias("key"))
+    at = ranked(picked, [*[F.col(f"`{g}`").asc() for g in by], *shortlex_sort(F.col("key"))], "__position")
+    groups = at.groupBy(*by).agg(F.min("__position").alias("__first"), F.count(F.lit(1)).alias("records"))
+    middle = groups.where("records > 0").select(*by, "records", (F.col("__first") + F.floor(F.col("records") / 2)).alias("__middle"))
+    found = at.select(F.col("__position").alias("__middle"), "key").join(middle, "__middle")
+    return found.select(*by, "key", "records")
 
 
 def hash_split(hashes: DataFrame, h: str, limit: int = SPLIT_LIMIT, step: int = SPLIT_LEVELS) -> DataFrame:

@@ -126,11 +126,17 @@ def test_block_packing(spark, seed):
         state[f] = (block, used + n)
     df = spark.createDataFrame(rng.sample(items, len(items)), "f string, i int, n int")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    read = lambda d: {(r.f, r.i): (r.block_id, r.offset) for r in d.collect()}
     try:
-        got = {(r.f, r.i): (r.block_id, r.offset) for r in layout.assign_blocks(df, ["f"], [F.col("i")], F.col("n"), 100).collect()}
+        got = read(layout.assign_blocks(df, ["f"], [F.col("i")], F.col("n"), 100))
+        # The same in stretches that all tasks share, as a file with more than 20 records is.
+        shared = read(layout.assign_blocks(df.repartition(7), ["f"], [F.col("i")], F.col("n"), 100, hot_rows=20, plain_bytes=0))
+        one = layout.assign_blocks(df.where("f = 'x'").repartition(9), [], [F.col("i")], F.col("n"), 100, (3, 40), hot_rows=20, plain_bytes=0)
+        plain = layout.assign_blocks(df.where("f = 'x'"), [], [F.col("i")], F.col("n"), 100, (3, 40))
+        assert read(one) == read(plain) and min(b for b, _ in read(one).values()) in (3, 4)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == want
+    assert got == want == shared
 
 
 def test_splits(spark):
@@ -138,6 +144,10 @@ def test_splits(spark):
     df = spark.createDataFrame([(k, "g") for k in keys], "k string, g string")
     assert layout.median_split(df, "k").first()["key"] == "5"
     assert layout.median_split(df, "k", ["g"]).first()["key"] == "5"
+    groups = [(k, g) for g, n in (("a", 1), ("b", 4), (None, 7), ("c", 30)) for k in map(str, range(n))]
+    several = spark.createDataFrame(random.Random(1).sample(groups, len(groups)), "k string, g string").repartition(5)
+    assert {r.g: (r.key, r.records) for r in layout.median_split(several, "k", ["g"]).collect()} == {"a": ("0", 1), "b": ("2", 4), None: ("3", 7), "c": ("15", 30)}
+    assert layout.median_split(df.limit(0), "k").count() == 0
     rng = random.Random(5)
     hashes = [(7 << 52) | rng.randrange(1 << 52) for _ in range(100)] + [(9 << 52) | 1] * 60
     got = {r.bucket: (r.level, r.records, r.largest) for r in layout.hash_split(spark.createDataFrame([(h,) for h in hashes], "h bigint"), "h", limit=40).collect()}
