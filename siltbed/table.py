@@ -130,7 +130,7 @@ class KvTable:
         written = merge.write_run(rows, "key", f"{self.home}/{folder}", files, bloom=True)
         facts = layout.key_ranges(written.withColumn("path", F.element_at(F.split("_metadata.file_path", "/"), -1)), ["path"], "key", [F.max("version").alias("version"), F.sum(F.col("deleted").cast("bigint")).alias("deleted")])
         return [
-            {"path": f"{folder}/{r.path}", "level": level, "lo": bytes(r.min_key).hex(), "hi": bytes(r.max_key).hex(), "rows": r.records, "version": r.version, "deleted": r.deleted} for r in facts.orderBy("path").toLocalIterator()
+            {"path": f"{folder}/{r.path}", "level": level, "lo": bytes(r.min_key).hex(), "hi": bytes(r.max_key).hex(), "rows": r.records, "version": r.version, "deleted": r.deleted} for r in sorted(facts.collect(), key=lambda r: r.path)
         ]
 
     def put(self, rows: DataFrame) -> None:
