@@ -22,7 +22,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 TOKENIZER_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CAPACITY = 2048
 #: Bits of the chunk number in each round of packing.
-ROUNDS = (12, 6, 0)
+ROUNDS = (12, 0)
 
 
 class TightestFit:
