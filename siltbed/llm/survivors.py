@@ -55,7 +55,7 @@ def survivors(records: DataFrame, keys: dict[str, Column], identity: Column, fie
         identity.alias("__id"),
         F.struct(*rank).alias("__rank"),
         halvings.alias("__age"),
-        *[(f.value if same else _to_text(f.value, types[f.name].dataType.typeName())).alias(f"__v{i}") for i, f in enumerate(fields)],
+        *[(f.value if same else _to_bytes(f.value, types[f.name].dataType.typeName())).alias(f"__v{i}") for i, f in enumerate(fields)],
         *[F.greatest(F.coalesce(f.trust.cast("bigint"), F.lit(0)), F.lit(0)).alias(f"__t{i}") for i, f in enumerate(fields)],
     )
     for n in names:
@@ -89,7 +89,7 @@ def survivors(records: DataFrame, keys: dict[str, Column], identity: Column, fie
     differ = F.coalesce(F.col("__low") != F.col("__high"), F.lit(False)) | (F.col("__none") & F.col("__low").isNotNull())
     return winners.select(
         *[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)],
-        *[(F.col(f"__w{i}") if same else _from_text(F.col(f"__w{i}"), types[f.name].dataType)).alias(f.name) for i, f in enumerate(fields)],
+        *[(F.col(f"__w{i}") if same else _from_bytes(F.col(f"__w{i}"), types[f.name].dataType)).alias(f.name) for i, f in enumerate(fields)],
         differ.alias("copies_differ"),
     )
 
@@ -106,12 +106,12 @@ def _total(sums: Column) -> Column:
     return F.struct(exponent.alias("exponent"), F.when(high, part / 2).when(low, part * 2).otherwise(part).alias("part"))
 
 
-def _to_text(value: Column, kind: str) -> Column:
-    return F.hex(value) if kind == "binary" else value.cast("string")
+def _to_bytes(value: Column, kind: str) -> Column:
+    return value if kind == "binary" else value.cast("string").cast("binary")
 
 
-def _from_text(text: Column, kind) -> Column:
-    return F.unhex(text) if kind.typeName() == "binary" else text.cast(kind)
+def _from_bytes(data: Column, kind) -> Column:
+    return data if kind.typeName() == "binary" else data.cast("string").cast(kind)
 
 
 # The record copies of the test tables
