@@ -53,7 +53,7 @@ def p5_folder(spark: SparkSession, sf: str) -> DataFrame:
     """The log as a folder of small files, by database, consolidated."""
     home = scratch(spark, "p5-folder")
     rows = spark.read.parquet(f"{sf}/wal_log.parquet")
-    rows.repartition(16, F.xxhash64("delivery_id")).write.partitionBy("db_name").parquet(f"{home}/small files")
+    rows.write.option("maxRecordsPerFile", 2000).partitionBy("db_name").parquet(f"{home}/small files")
     out = consolidate.consolidate_folder(spark, f"{home}/small files", f"{home}/out", "v1")
     return out.select("delivery_id", "db_name", "lsn", "log_type", "log_size", F.hex("log_data").alias("data_hex"))
 

@@ -13,7 +13,7 @@ from siltbed.session import cut, scratch
 from siltbed.sources import resp_stream
 from siltbed.sources.storage import tables
 from siltbed.sources.stored_log import START, StoredLog
-from siltbed.table import KvTable
+from siltbed.table import KvTable, RunCache
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -193,6 +193,19 @@ def kv_table_counters(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(table.record_count, c["rows_put"], c["rows_deleted"], table.key_version, pruned)], "records bigint, puts bigint, deletes bigint, key_version bigint, pruned boolean")
 
 
+@query("SELECT count(*) AS asked, CAST(sum(CAST(n_nationkey IN (SELECT c_custkey FROM customer) AS INTEGER)) AS BIGINT) AS found, true AS hit FROM nation")
+def kv_cached_gets(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbers of all nations looked up twice among the customers, through a cache of the table's files: how many are customers' numbers, and whether the cache was hit."""
+    cache = RunCache(spark, 8)
+    table = KvTable(spark, scratch(spark, "kv-cached"), cache=cache)
+    table.put(tables(spark, sf)("customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("value")))
+    asked = [str(r.n_nationkey).encode() for r in tables(spark, sf)("nation").select("n_nationkey").collect()]
+    found = [not table.get(key).isEmpty() for key in [*asked, *asked]]
+    told = (len(asked), sum(found) // 2, cache.hits > 0 and cache.misses <= len(table.state["files"]))
+    cache.clear()
+    return spark.createDataFrame([told], "asked bigint, found bigint, hit boolean")
+
+
 _LOG_FILE = 65_536
 _LOGGED = f"""WITH e AS (SELECT event_id, event_id * 3 // (1 + max(event_id) OVER ()) AS third, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events)
 SELECT event_id, ((1 + pos // ({_LOG_FILE} // 21)) << 32) | ((pos % ({_LOG_FILE} // 21) + 1) * 21) AS lsn FROM e WHERE third >= 1"""
